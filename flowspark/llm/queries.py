@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_count
+from . import decontamination, mixing, simhash, token_count
 
 #: The tokenizer's file; None stands for the installed public vocabulary.
 TOKENIZER: str | None = None
@@ -34,7 +34,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts)}
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in 2 bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, width=3)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document shares with the benchmark."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op9_simhash_groups, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -59,4 +71,22 @@ goals AS (
 SELECT doc_id, size, g.source_size, round(target, 6)::DOUBLE AS target,
        (size * (CASE WHEN g.source_size = 0 THEN 0 ELSE floor(target / g.source_size) + CASE WHEN ahead + size / 2.0 < (target / g.source_size - floor(target / g.source_size)) * g.source_size THEN 1 ELSE 0 END END))::BIGINT AS taken
 FROM ranked r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source""",
+    "op10_decontaminate": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bench AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bench WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, n, i, item_id FROM grams JOIN windows USING (n, g)),
+marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)""",
 }
