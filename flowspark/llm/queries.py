@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, id_output, mixing, simhash, token_count
+from . import decontamination, id_output, mixing, quality, simhash, token_count
 
 #: The tokenizer's file; None stands for the installed public vocabulary.
 TOKENIZER: str | None = None
@@ -40,6 +40,11 @@ def op4_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of each document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in 2 bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, width=3)
@@ -52,7 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_binary_ids, op9_simhash_groups, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_binary_ids, op6_quality_outliers, op9_simhash_groups, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
