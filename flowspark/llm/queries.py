@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, id_output, mixing, quality, simhash, token_count
+from . import decontamination, id_output, mixing, quality, simhash, substring_dedup, suffix_dedup, token_count
 
 #: The tokenizer's file; None stands for the installed public vocabulary.
 TOKENIZER: str | None = None
@@ -40,11 +40,22 @@ def op4_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each document without windows of 20 words that stand earlier."""
+    kept = substring_dedup.deduplicated(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of each document."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand twice."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), least=50)
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in 2 bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, width=3)
@@ -57,7 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_binary_ids, op6_quality_outliers, op9_simhash_groups, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_binary_ids, op5_substring_dedup, op6_quality_outliers, op8_suffix_repeats, op9_simhash_groups, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -82,6 +93,26 @@ goals AS (
 SELECT doc_id, size, g.source_size, round(target, 6)::DOUBLE AS target,
        (size * (CASE WHEN g.source_size = 0 THEN 0 ELSE floor(target / g.source_size) + CASE WHEN ahead + size / 2.0 < (target / g.source_size - floor(target / g.source_size)) * g.source_size THEN 1 ELSE 0 END END))::BIGINT AS taken
 FROM ranked r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source""",
+    "op5_substring_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM grams) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op8_suffix_repeats": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+runs AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY md5(array_to_string(w[i:i + 49], ' '))) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+chained AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM runs WHERE n > 1),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM chained)
+SELECT doc_id, min(i) - 1 AS start, max(i) + 50 - min(i) AS n_words FROM numbered GROUP BY doc_id, k""",
     "op10_decontaminate": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
