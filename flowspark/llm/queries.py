@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, id_output, mixing, quality, simhash, substring_dedup, suffix_dedup, token_count
+from . import decontamination, id_output, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_count
 
 #: The tokenizer's file; None stands for the installed public vocabulary.
 TOKENIZER: str | None = None
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Key of the test tables' pseudonyms; a real corpus has a secret one.
+PII_KEY = b"flowspark test tables"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +55,11 @@ def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with its personal data under pseudonyms, and how much there was of each kind."""
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that stand twice."""
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"), least=50)
@@ -68,7 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_binary_ids, op5_substring_dedup, op6_quality_outliers, op8_suffix_repeats, op9_simhash_groups, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_binary_ids, op5_substring_dedup, op6_quality_outliers, op7_pii_pseudonyms, op8_suffix_repeats, op9_simhash_groups, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
