@@ -61,10 +61,26 @@ def mix(
     empty one. Rows that repeat an id are separate documents; equal ones are told apart by size only, which leaves the
     result the same. Other columns, whatever their names, are not read.
     """
+    decided = _decided(docs, weights, share, max_epochs, seed, id_col, source_col, text_col, slices, [])
+    return decided.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(
+    docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0,
+    seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slices: int = SLICES,
+) -> DataFrame:
+    """The mix itself: the documents, with all their columns, each as often as ``mix`` takes it. Rows move once, to where they are ranked."""
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    decided = _decided(docs, weights, share, max_epochs, seed, id_col, source_col, text_col, slices, [row])
+    repeated = decided.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return repeated.select("row.*")
+
+
+def _decided(docs, weights, share, max_epochs, seed, id_col, source_col, text_col, slices, more) -> DataFrame:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
     key = F.coalesce(F.concat(F.lit("="), docs[source_col]), F.lit(""))  # never null, so that windows and the join share one partitioning
     sizes = docs.select(
-        docs[id_col].alias("doc_id"), docs[source_col].alias("source"), key.alias("key"), word_count(docs[text_col]).alias("size"), digest.alias("place")
+        docs[id_col].alias("doc_id"), docs[source_col].alias("source"), key.alias("key"), word_count(docs[text_col]).alias("size"), digest.alias("place"), *more
     ).withColumn("slice", F.floor(F.conv(F.substring("place", 1, 4), 16, 10).cast("long") * slices / 65536).cast("int"))
     per_slice = sizes.groupBy("key", "slice").agg(F.max("source").alias("source"), F.sum("size").alias("slice_size"))
     along = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,8 +95,4 @@ def mix(
     middle = F.col("slice_start") + F.col("ahead") + F.col("size") / 2
     whole = F.floor("epochs")
     extra = (middle < (F.col("epochs") - whole) * F.col("source_size")).cast("long")
-    return (
-        both.withColumn("epochs", epochs)
-        .withColumn("copies", (whole + extra).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    return both.withColumn("epochs", epochs).withColumn("copies", (whole + extra).cast("long"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, id_output, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_count
+from . import decontamination, id_output, mixing, pii, quality, sharding, simhash, substring_dedup, suffix_dedup, token_count
+from ._shared import scratch
 
 #: The tokenizer's file; None stands for the installed public vocabulary.
 TOKENIZER: str | None = None
@@ -38,6 +39,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
 
 
+def op3_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies once its arrivals are compacted, read back from the shards."""
+    return sharding.placements(*sharding.sharded(table(spark, sf_dir, "documents"), scratch(spark, "shards")))
+
+
 def op4_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids as its Simple-8b file gives them back: place, number and checksum."""
     ids = id_output.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
@@ -77,7 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op4_binary_ids, op5_substring_dedup, op6_quality_outliers, op7_pii_pseudonyms, op8_suffix_repeats, op9_simhash_groups, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_compact_shards, op4_binary_ids, op5_substring_dedup, op6_quality_outliers, op7_pii_pseudonyms, op8_suffix_repeats, op9_simhash_groups, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""

@@ -216,3 +216,21 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col:
     joined = named.join(merged, "label", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
     out = prints.join(joined, "print")
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, without near-duplicates: of each group of ``near_duplicates`` the one with the smallest id stays.
+
+    Of rows that repeat that id one stays. Documents with a null id stay, as no group can name them.
+    """
+    groups = near_duplicates(docs, radius=radius, width=width, id_col=id_col, text_col=text_col).select("doc_id", "component_id")
+    groups = written(groups, "groups").filter("doc_id = component_id")
+    ids = groups.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    twice = not ids.filter("n > 1").isEmpty()
+    names = [f"d{k}" for k in range(len(docs.columns))]
+    own = names[docs.columns.index(id_col)]
+    out = docs.toDF(*names).join(ids, F.col(own) == F.col("kept_id"), "left").filter(F.col("kept_id").isNotNull() | F.col(own).isNull())
+    if twice:
+        known = out.filter(F.col(own).isNotNull()).dropDuplicates([own])
+        out = known.unionByName(out.filter(F.col(own).isNull()))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
