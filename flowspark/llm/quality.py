@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -113,7 +113,8 @@ def fit(stats: DataFrame) -> DataFrame:
     Documents that fail the base rules aren't used. A group starts from its medians and median absolute deviations;
     each of STEPS concentration steps then keeps the SUBSET share of documents nearest to the present estimate and takes
     their mean and covariance, which never raises its determinant. Nearness and medians are counted in fine bins, so a
-    quantile holds a bounded table of counts, is the same in every run, and needs no group in one task. FLOORS keep
+    quantile needs a bounded table of counts, is the same in every run, and needs no group in one task; a step is one
+    pass, which sums up each bin. FLOORS keep
     covariances regular where a statistic is mostly zero.
 
     Groups of fewer than MIN_GROUP are pooled by language, and languages of fewer such documents altogether; what then
@@ -135,15 +136,18 @@ def fit(stats: DataFrame) -> DataFrame:
     spread = spread.groupBy("group").agg(*(F.first(f"med{k}").alias(f"med{k}") for k in range(_DIM)), *((F.percentile(fine(F.abs(v - F.col(f"med{k}"))), F.lit(0.5)) / 100).alias(f"mad{k}") for k, v in enumerate(x)))
     square = [F.pow(F.greatest(1.4826 * F.col(f"mad{k}"), F.lit(FLOORS[k])), 2) for k in range(_DIM)]
     now = written(_estimate(spread, [F.col(f"med{k}") for k in range(_DIM)], [[square[r] if r == c else F.lit(0.0) for c in range(_DIM)] for r in range(_DIM)]), "estimate")
+    pairs = [(r, c) for r in range(_DIM) for c in range(r + 1)]
+    values = {"n": F.lit(1)} | {f"a{k}": x[k] for k in range(_DIM)} | {f"p{r}{c}": x[r] * x[c] for r, c in pairs}
+    nearest = Window.partitionBy("group").orderBy("place")
     for _ in range(STEPS):
         place = F.floor(64 * F.log2(1 + _distance(x))).cast("int")
-        edge = rows.join(now, "group").groupBy("group").agg(F.ceil(F.percentile(place, F.lit(SUBSET))).alias("edge"))
-        near = rows.join(written(now.join(edge, "group"), "edge"), "group").filter(place <= F.col("edge"))
-        pairs = [(r, c) for r in range(_DIM) for c in range(r + 1)]
-        sums = near.groupBy("group").agg(*(F.avg(v).alias(f"a{k}") for k, v in enumerate(x)), *(F.avg(x[r] * x[c]).alias(f"p{r}{c}") for r, c in pairs))
-        mean = [F.col(f"a{k}") for k in range(_DIM)]
-        cov = [[CONSISTENCY * (F.col(f"p{r}{c}") - mean[r] * mean[c]) + (FLOORS[r] ** 2 if r == c else 0.0) if c <= r else None for c in range(_DIM)] for r in range(_DIM)]
-        now = written(_estimate(sums, mean, cov), "estimate")
+        bins = rows.join(now, "group").groupBy("group", place.alias("place")).agg(*(F.sum(v).alias(k) for k, v in values.items()))
+        before = F.coalesce(F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = bins.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("group"))).filter(F.col("before") < F.ceil(SUBSET * F.col("all")))
+        sums = near.groupBy("group").agg(*(F.sum(k).alias(k) for k in values))
+        mean = [F.col(f"a{k}") / F.col("n") for k in range(_DIM)]
+        cov = [[CONSISTENCY * (F.col(f"p{r}{c}") / F.col("n") - mean[r] * mean[c]) + (FLOORS[r] ** 2 if r == c else 0.0) if c <= r else None for c in range(_DIM)] for r in range(_DIM)]
+        now = written(_estimate(sums, mean, cov).coalesce(1), "estimate")
     return written(names.join(now, "group").drop("group").withColumnsRenamed({"lang": "fit_lang", "source": "fit_source"}), "fit")
 
 
