@@ -169,12 +169,12 @@ def flatten(step_id: str, up: Stream) -> Stream:
     return up.with_df(_exploded(up, F.col(VALUE), [KEY] if KEY in up.columns else []))
 
 
-def _checked(up: Stream, predicate: Column, step_id: str) -> Column:
-    """The predicate, if it is boolean; a null in it stops the flow."""
+def _checked(up: Stream, predicate: Column, step_id: str, strict: bool) -> Column:
+    """The predicate, if it is boolean. With strict, a null in it stops the flow, at the price that no scan can take it over."""
     kind = up.df.select(predicate).schema[0]
     if not isinstance(kind.dataType, BooleanType):
         raise TypeError(f"predicate of step {step_id!r} must be boolean, not {kind.dataType.simpleString()}")
-    if not kind.nullable:
+    if not kind.nullable or not strict:
         return predicate
     return F.coalesce(predicate, F.raise_error(F.lit(f"predicate of step {step_id} is null")).cast("boolean"))
 
@@ -186,10 +186,10 @@ def _truth(step_id: str, predicate, x) -> bool:
     return got
 
 
-def _chosen(step_id: str, up: Stream, predicate, value_only: bool, wanted: bool = True) -> Stream:
+def _chosen(step_id: str, up: Stream, predicate, value_only: bool, strict: bool, wanted: bool = True) -> Stream:
     if isinstance(predicate, Column):
-        kept = _checked(up, predicate, step_id)
-        return up.with_df(up.df.filter(kept if wanted else ~kept))
+        kept = _checked(up, predicate, step_id, strict)
+        return up.with_df(up.df.filter(kept if wanted else ~F.coalesce(kept, F.lit(False))))
     read, keyed = reader(up.value_columns if KEY in up.columns else up.columns), KEY in up.columns
 
     def run(batches):
@@ -201,22 +201,26 @@ def _chosen(step_id: str, up: Stream, predicate, value_only: bool, wanted: bool
 
 
 @operator
-def filter(step_id: str, up: Stream, predicate: Column | Callable) -> Stream:  # noqa: A001
-    """Rows for which the predicate is true; anything but a boolean raises."""
-    return _chosen(step_id, up, predicate, False)
+def filter(step_id: str, up: Stream, predicate: Column | Callable, strict: bool = False) -> Stream:  # noqa: A001
+    """Rows for which the predicate is true.
+
+    A callable that returns anything but a bool raises. A Column must be boolean; its nulls count as false, so that the
+    filter can move into the scan, or raise with strict.
+    """
+    return _chosen(step_id, up, predicate, False, strict)
 
 
 @operator
-def filter_value(step_id: str, up: Stream, predicate: Column | Callable) -> Stream:
-    """Rows whose value makes the predicate true."""
+def filter_value(step_id: str, up: Stream, predicate: Column | Callable, strict: bool = False) -> Stream:
+    """Rows whose value makes the predicate true; see ``filter``."""
     up.require_key(step_id)
-    return _chosen(step_id, up, predicate, True)
+    return _chosen(step_id, up, predicate, True, strict)
 
 
 @operator
-def branch(step_id: str, up: Stream, predicate: Column | Callable) -> BranchOut:
-    """Rows for which the predicate is true, and those for which it is false."""
-    return BranchOut(_chosen(step_id, up, predicate, False), _chosen(step_id, up, predicate, False, wanted=False))
+def branch(step_id: str, up: Stream, predicate: Column | Callable, strict: bool = False) -> BranchOut:
+    """Rows for which the predicate is true, and all others; see ``filter``."""
+    return BranchOut(_chosen(step_id, up, predicate, False, strict), _chosen(step_id, up, predicate, False, strict, wanted=False))
 
 
 @operator
