@@ -50,11 +50,16 @@ class SystemClock(Clock):
 
 @dataclass(frozen=True)
 class EventClock(Clock):
-    """A row happens at ts, a timestamp column. Each key's time has come to its latest row less the wait; rows before that are late."""
+    """A row happens at ts, a timestamp column. Each key's time has come to its latest row less the wait; rows before that are late.
+
+    With per_key false, a streaming query goes by one time for all keys, Spark's watermark. Then tumbling and sliding
+    windows with an aggregate Column run in the engine, with partial sums and no Python; late rows are dropped, not given.
+    """
 
     ts_column: Column | str
     wait: timedelta = timedelta(0)
     now: Callable[[], datetime] = utc_now
+    per_key: bool = True
 
     def ts(self) -> Column:
         return F.col(self.ts_column) if isinstance(self.ts_column, str) else self.ts_column
@@ -255,6 +260,22 @@ def _live(step_id: str, up: Stream, clock: Clock, windower: Windower, builder: C
     return WindowOut(pick("E", "e.*"), pick("L", "l.*"), pick("M", OPEN, CLOSE, "merged_ids"))
 
 
+def _shared(step_id: str, up: Stream, clock: Clock, windower: Windower, columns: dict[str, Column]) -> WindowOut:
+    """Windows of a streaming query by one watermark for all keys."""
+    if not isinstance(clock, EventClock) or clock.per_key or not isinstance(windower, SlidingWindower) or clock.wait == FOREVER:
+        raise TypeError(f"step {step_id!r}: an aggregate Column on a streaming query needs an EventClock with per_key=False and a finite wait, and tumbling or sliding windows")
+    up.require_key(step_id)
+    length, offset, align = micros(windower.length), micros(windower.offset), epoch_micros(windower.align_to)
+    timed = up.df.withColumn("_at", clock.ts().cast("timestamp")).withWatermark("_at", f"{micros(clock.wait)} microseconds")
+    span = F.window("_at", f"{length} microseconds", f"{offset} microseconds", f"{align % offset} microseconds")
+    made = timed.groupBy(KEY, span.alias("w")).agg(*(c.alias(n) for n, c in columns.items()))
+    wid = whole_div(F.unix_micros("w.start") - F.lit(align), offset).alias(WID)
+    down = made.select(KEY, wid, *columns)
+    meta = made.select(KEY, wid, F.col("w.start").alias(OPEN), F.col("w.end").alias(CLOSE), F.array().cast("array<bigint>").alias("merged_ids"))
+    late = up.df.select(KEY, F.lit(None).cast("long").alias(WID), *up.value_columns).filter(F.lit(False))
+    return WindowOut(up.with_df(down), up.with_df(late), up.with_df(meta))
+
+
 @operator
 def window(step_id: str, up: Stream, clock: Clock, windower: Windower, builder: Callable[[Any], WindowLogic], schema=None, ordered: bool = True) -> WindowOut:
     """Runs a WindowLogic in each window of each key; builder(state) makes it. With ordered, values come by time, else by arrival."""
@@ -305,6 +326,8 @@ def fold_window(step_id: str, up: Stream, clock: Clock, windower: Windower, buil
     """
     if agg is not None:
         columns = agg if isinstance(agg, dict) else {VALUE: agg}
+        if up.df.isStreaming:
+            return _shared(step_id, up, clock, windower, columns)
         a = assign(up, clock, windower, step_id)
         return _out(a, a.rows.groupBy(KEY, WID).agg(*(c.alias(n) for n, c in columns.items())))
     make = lambda state: FoldLogic(folder, merger, builder() if state is None else state)
@@ -325,7 +348,7 @@ def reduce_window(step_id: str, up: Stream, clock: Clock, windower: Windower, re
 def count_window(step_id: str, up: Stream, clock: Clock, windower: Windower, key: Column | Callable) -> WindowOut:
     """Rows by key and window."""
     keyed = key_on("key_on", up, key)
-    if keyed.df.isStreaming:
+    if keyed.df.isStreaming and not (isinstance(clock, EventClock) and not clock.per_key):
         return fold_window("fold_window", keyed, clock, windower, int, lambda n, _: n + 1, lambda a, b: a + b, "bigint", ordered=False)
     return fold_window("fold_window", keyed, clock, windower, agg=F.count("*"))
 

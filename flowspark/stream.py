@@ -153,7 +153,6 @@ def operator(builder: Callable) -> Callable:
         try:
             out = builder(step_id, *args, **kwargs)
         except Exception as e:
-            flow.siblings()
             e.add_note(f"in step {path!r} ({builder.__name__})")
             raise
         finally:

@@ -282,6 +282,23 @@ def test_streams_window_by_key(spark, tmp_path):
     assert sorted((k, v["window_id"]) for k, v in outs["meta"]) == [("a", 0), ("a", 1)]
 
 
+def test_streams_window_by_one_watermark(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), datetime(2024, 1, 1)
+    schema = "_arrival long, key string, ts timestamp, _sub long"
+    flow, out = Flow("shared", spark), []
+    for k, seconds in enumerate([(1, 4, 12), (25,), (60,)]):
+        spark.createDataFrame([(s, "a", base + timedelta(seconds=s), 0) for s in seconds], schema).coalesce(1).write.parquet(f"{folder}/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    up = op.input("inp", flow, stream)
+    clock = op.EventClock("ts", timedelta(0), per_key=False)
+    got = op.count_window("c", up, clock, op.SlidingWindower(timedelta(seconds=10), timedelta(seconds=10), base), F.col("key"))
+    op.output("out", got.down, TestingSink(out))
+    run_main(flow, available_now=True, timeout=60)
+    assert sorted((v["window_id"], v["value"]) for _, v in out)[:2] == [(0, 2), (1, 1)]
+    with pytest.raises(TypeError, match="per_key=False"):
+        op.fold_window("f", up, op.EventClock("ts"), op.SessionWindower(timedelta(seconds=1)), agg=F.count("*"))
+
+
 def test_failures_stop_the_flow(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.createDataFrame([(0, "a", 1, 0)], "_arrival long, key string, value long, _sub long").write.parquet(f"{folder}/0")
@@ -325,3 +342,24 @@ def test_import_strings(spark, tmp_path, monkeypatch):
         load("flows_for_test:make(number)")
     with pytest.raises(ValueError, match="name nor a call"):
         load("flows_for_test:1 +")
+
+
+def test_progress_is_counted(spark, tmp_path):
+    import time
+
+    from flowspark.metrics import setup_tracing
+
+    progress = setup_tracing(spark)
+    try:
+        folder = str(tmp_path / "in")
+        spark.createDataFrame([(0, "a", 1, 0)], "_arrival long, key string, value long, _sub long").write.parquet(f"{folder}/0")
+        flow = Flow("counted", spark)
+        op.output("out", op.input("inp", flow, streamed(spark, folder)), TestingSink([]))
+        run_main(flow, available_now=True, timeout=60)
+        for _ in range(100):
+            if progress.counts["counted.out"]["item_inp_count"]:
+                break
+            time.sleep(0.1)
+        assert progress.counts["counted.out"]["item_inp_count"] == 1
+    finally:
+        spark.streams.removeListener(progress)
