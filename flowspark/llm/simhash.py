@@ -221,16 +221,17 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col:
 def deduplicated(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, without near-duplicates: of each group of ``near_duplicates`` the one with the smallest id stays.
 
-    Of rows that repeat that id one stays. Documents with a null id stay, as no group can name them.
+    Rows that share an id are judged together: they stay if one of them is its group's smallest, and of those that share
+    the text too one stays. Documents with a null id stay, as no group can name them.
     """
-    groups = near_duplicates(docs, radius=radius, width=width, id_col=id_col, text_col=text_col).select("doc_id", "component_id")
-    groups = written(groups, "groups").filter("doc_id = component_id")
-    ids = groups.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
-    twice = not ids.filter("n > 1").isEmpty()
+    groups = written(near_duplicates(docs, radius=radius, width=width, id_col=id_col, text_col=text_col), "groups").filter("doc_id IS NOT NULL")
+    ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    ids = written(ids.filter("n > 1 OR NOT stays"), "ids")  # few next to those that stay, so that the texts need not move as long as these fit a broadcast
     names = [f"d{k}" for k in range(len(docs.columns))]
-    own = names[docs.columns.index(id_col)]
-    out = docs.toDF(*names).join(ids, F.col(own) == F.col("kept_id"), "left").filter(F.col("kept_id").isNotNull() | F.col(own).isNull())
-    if twice:
-        known = out.filter(F.col(own).isNotNull()).dropDuplicates([own])
+    own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    gone = ids.filter("NOT stays").select(F.col("doc_id").alias(own))
+    out = docs.toDF(*names).join(gone, own, "left_anti")
+    if not ids.filter("stays").isEmpty():
+        known = out.filter(F.col(own).isNotNull()).dropDuplicates([own, text])
         out = known.unionByName(out.filter(F.col(own).isNull()))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
