@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import functions
+from ..functions import before_slice, sliced
 from ..items import schema_of
 from ..streaming.logic import Itemwise, JoinLogic
 from ..streaming.processor import stateful_stream
@@ -65,9 +67,14 @@ def joined_rows(rows: DataFrame, n: int, names: list[str], insert_mode: str, emi
     window = Window.partitionBy(*group).orderBy(*order, "side")
     sofar = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if emit_mode == "running" and insert_mode != "product":
-        pick = F.last if insert_mode == "last" else F.first
-        seen = rows.select(*group, *order, *(pick(b, ignorenulls=True).over(sofar).alias(b) for b in boxes))
-        return seen.select(*group, *out, *order)
+        pick, best = (F.last, F.max_by) if insert_mode == "last" else (F.first, F.min_by)
+        cut = sliced(rows, order[0], functions.ARRIVAL_SLICE_BITS if order[0] == ARRIVAL else functions.TIME_SLICE_BITS)
+        slices = cut.groupBy(*group, "_slice").agg(*(best(b, F.when(F.col(b).isNotNull(), place)).alias(b) for b in boxes))
+        earlier = before_slice(slices, group, {f"e{b}": pick(b, ignorenulls=True) for b in boxes})
+        within = Window.partitionBy(*group, "_slice").orderBy(*order, "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = cut.select(*group, "_slice", *order, *(pick(b, ignorenulls=True).over(within).alias(b) for b in boxes)).join(earlier, [*group, "_slice"])
+        ranked = ((b, f"e{b}") if insert_mode == "last" else (f"e{b}", b) for b in boxes)
+        return seen.select(*group, *(F.coalesce(x, y)["v"].alias(name) for (x, y), name in zip(ranked, names, strict=True)), *order)
     if emit_mode == "running":
         seen = rows.select(*group, *order, *(F.collect_list(b).over(sofar).alias(b) for b in boxes))
         for b in boxes:

@@ -11,7 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import FOREVER, epoch_micros, from_micros, micros, sliding_ids, ts_micros, whole_div
+from .. import functions
+from ..functions import FOREVER, before_slice, epoch_micros, from_micros, micros, sliced, sliding_ids, ts_micros, whole_div
 from ..items import reader, schema_of, writer
 from ..streaming.logic import EventClockLogic, FoldLogic, SessionLogic, SlidingLogic, SystemClockLogic, WindowDriver, WindowJoinLogic, WindowLogic
 from ..streaming.processor import stateful_stream, utc_now
@@ -33,8 +34,9 @@ class Clock(ABC):
     @abstractmethod
     def logic(self): ...
 
-    def late(self, ts: Column, up: Stream) -> Column:
-        return F.lit(False)
+    def mark(self, timed: DataFrame, up: Stream) -> DataFrame:
+        """timed with the column _late."""
+        return timed.withColumn(LATE, F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -67,11 +69,14 @@ class EventClock(Clock):
     def logic(self):
         return EventClockLogic(self.wait, self.now)
 
-    def late(self, at: Column, up: Stream) -> Column:
+    def mark(self, timed, up):
         if self.wait == FOREVER or not up.ordered:
-            return F.lit(False)
-        sofar = Window.partitionBy(KEY).orderBy(*up.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return at < F.max(at).over(sofar) - F.lit(micros(self.wait))
+            return super().mark(timed, up)
+        rows = sliced(timed, ORDER[0], functions.ARRIVAL_SLICE_BITS)
+        tops = rows.groupBy(KEY, "_slice").agg(F.max(AT).alias("_top"))
+        sofar = Window.partitionBy(KEY, "_slice").orderBy(*up.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = rows.withColumn("_top", F.max(AT).over(sofar)).join(before_slice(tops, (KEY,), {"_before": F.max("_top")}), [KEY, "_slice"])
+        return both.withColumn(LATE, F.col(AT) < F.greatest("_top", "_before") - F.lit(micros(self.wait))).drop("_slice", "_top", "_before")
 
 
 class Windower(ABC):
@@ -147,11 +152,18 @@ class SessionWindower(Windower):
 
     def assign(self, rows):
         order = [c for c in ORDER if c in rows.columns]
-        window = Window.partitionBy(KEY).orderBy(AT, *order)
-        before = F.lag(AT).over(window)
-        fresh = F.when(before.isNull() | (F.col(AT) - before > F.lit(micros(self.gap))), 1).otherwise(0)
-        marked = rows.withColumn("_fresh", fresh)
-        return marked.withColumn(WID, (F.sum("_fresh").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).cast("long")).drop("_fresh")
+        own = sliced(rows, AT, functions.TIME_SLICE_BITS)
+        window = Window.partitionBy(KEY, "_slice").orderBy(AT, *order)
+        apart = lambda a, b: (a - b > F.lit(micros(self.gap))).cast("long")
+        inner = own.withColumn("_inner", F.coalesce(apart(F.col(AT), F.lag(AT).over(window)), F.lit(0)))
+        # a slice's first row begins a session if the slice before it ended too long ago
+        slices = inner.groupBy(KEY, "_slice").agg(F.sum("_inner").alias("n"), F.min(AT).alias("a"), F.max(AT).alias("b"))
+        slices = slices.withColumn("first", F.coalesce(apart(F.col("a"), F.lag("b").over(Window.partitionBy(KEY).orderBy("_slice"))), F.lit(1)))
+        earlier = before_slice(slices.withColumn("all", F.col("n") + F.col("first")), (KEY,), {"_earlier": F.sum("all")})
+        starts = slices.select(KEY, "_slice", "first").join(earlier, [KEY, "_slice"])
+        starts = starts.select(KEY, "_slice", (F.coalesce("_earlier", F.lit(0)) + F.col("first") - 1).alias("_start"))
+        upto = F.sum("_inner").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return inner.withColumn("_inner", upto).join(starts, [KEY, "_slice"]).withColumn(WID, F.col("_inner") + F.col("_start")).drop("_slice", "_inner", "_start")
 
     def late_ids(self, rows):
         return rows.withColumn(WID, F.lit(LATE_SESSION_ID).cast("long"))
@@ -189,8 +201,7 @@ def assign(up: Stream, clock: Clock, windower: Windower, step_id: str) -> Assign
     up.require_key(step_id)
     timed = up.df.withColumn(AT, ts_micros(clock.ts()))
     timed = timed.filter(F.coalesce(F.col(AT).isNotNull(), F.raise_error(F.lit(f"a row of step {step_id} has no time")).cast("boolean")))
-    lateness = clock.late(F.col(AT), up)
-    marked = timed.withColumn(LATE, lateness)
+    marked = clock.mark(timed, up)
     rows = windower.assign(marked.filter(~F.col(LATE)).drop(LATE))
     late = windower.late_ids(marked.filter(LATE).drop(LATE)).select(KEY, WID, *up.value_columns, *(c for c in ORDER if up.ordered))
     start, end = windower.bounds()

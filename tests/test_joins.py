@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 import flowspark.operators as op
-from flowspark import Flow, run_main
+from flowspark import Flow, functions, run_main
 from flowspark.streaming.logic import Itemwise, JoinLogic, JoinState, drive
 from flowspark.testing import TestingSink, TestingSource
 
@@ -46,7 +46,8 @@ def test_small_joins(spark, left, right, insert_mode, emit_mode, want):
 @pytest.mark.parametrize("insert_mode", ["first", "last", "product"])
 @pytest.mark.parametrize("emit_mode", ["complete", "final", "running"])
 @pytest.mark.parametrize("n", [1, 2, 3])
-def test_joins_equal_the_state_machine(spark, insert_mode, emit_mode, n):
+def test_joins_equal_the_state_machine(spark, monkeypatch, insert_mode, emit_mode, n):
+    monkeypatch.setattr(functions, "ARRIVAL_SLICE_BITS", n)  # keys cut into several pieces
     draw = random.Random(f"{insert_mode}{emit_mode}{n}")
     rows = [(f"k{draw.randrange(4)}", draw.choice([None, *range(9)]), at, draw.randrange(n)) for at in range(28)]
     want = []

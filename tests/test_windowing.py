@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import flowspark.operators as op
-from flowspark import Flow, run_main
+from flowspark import Flow, functions, run_main
 from flowspark.functions import FOREVER
 from flowspark.streaming.logic import UTC_MIN, EventClockLogic, FoldLogic, SessionLogic, SlidingLogic, WindowDriver, drive
 from flowspark.testing import TestingSink, TestingSource, TimeTestingGetter
@@ -160,7 +160,11 @@ def test_sessions_merge():
 
 @pytest.mark.parametrize("kind", ["tumbling", "sliding", "session"])
 @pytest.mark.parametrize("wait", [0, 4, None])
-def test_closed_forms_equal_the_state_machine(spark, kind, wait):
+@pytest.mark.parametrize("slices", [False, True])
+def test_closed_forms_equal_the_state_machine(spark, monkeypatch, kind, wait, slices):
+    if slices:  # keys cut into many pieces
+        monkeypatch.setattr(functions, "ARRIVAL_SLICE_BITS", 4)
+        monkeypatch.setattr(functions, "TIME_SLICE_BITS", 22)
     draw = random.Random(f"{kind}{wait}")
     rows = [{"key": f"k{draw.randrange(5)}", "ts": BASE + draw.randrange(60) * SEC, "v": str(n)} for n in range(120)]
     windower = {"tumbling": op.TumblingWindower(10 * SEC, BASE), "sliding": op.SlidingWindower(10 * SEC, 4 * SEC, BASE), "session": op.SessionWindower(3 * SEC)}[kind]
