@@ -33,7 +33,25 @@ def written(df, name: str):
     """df, written as Parquet to the shared folder and read again: a cut in the lineage that lost executors can't lose."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._flowspark_path = path
+    return out
+
+
+def discard(table) -> None:
+    """Deletes a ``written`` table, once what was made of it is written itself."""
+    fs, at = hadoop_fs(table.sparkSession, table._flowspark_path)
+    fs.delete(at, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables and files that operators have left in the shared folder, for when no result is still to be read; returns how many folders there were."""
+    folder = shared_dir(spark)
+    fs, at = hadoop_fs(spark, folder)
+    found = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("flowspark-")] if fs.exists(at) else []
+    for path in found:
+        fs.delete(path, True)
+    return len(found)
 
 
 def hadoop_fs(spark: SparkSession, path: str):

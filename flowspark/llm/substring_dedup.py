@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, written
 from ._text import WordHashes, mix, ngram_hashes, sliding_min, split_words
 
 # A run's place is one long: first window, number of windows (6 bits), and 24 bits of the text's hash, which tell texts
@@ -188,6 +188,21 @@ def windows_of(docs: DataFrame, runs: DataFrame, window: int, gram: int) -> Data
     return joined.mapInArrow(run, "anchor long, content long, doc_id long, place long")
 
 
+def compared(docs: DataFrame, window: int, gram: int, both: bool) -> tuple[DataFrame, DataFrame]:
+    """What ``not_first`` finds among the anchor runs of docs (doc_id, text), and among the windows of those that have to be extended.
+
+    Runs and windows are written before they are sorted: finding the ranges reads them once more, which would make them
+    twice. They go as soon as they are sorted.
+    """
+    made = written(seeds(docs, window, gram), "seeds")
+    runs = written(not_first(made, alone=True, both=both), "runs")
+    discard(made)
+    made = written(windows_of(docs, runs.filter("kind = 1").select("doc_id", "place"), window, gram), "windows")
+    single = written(not_first(made, alone=False, both=both), "singles")
+    discard(made)
+    return runs, single
+
+
 def deduplicated(docs: DataFrame, *, window: int = 20, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without what an earlier text already has: doc_id, n_words, n_removed, kept (words joined by one space), spans (start, words); a row for each input row.
 
@@ -206,9 +221,7 @@ def deduplicated(docs: DataFrame, *, window: int = 20, gram: int = 5, id_col: st
     Other columns aren't read.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    runs = written(not_first(seeds(docs, window, gram), alone=True), "runs")
-    close = windows_of(docs, runs.filter("kind = 1").select("doc_id", "place"), window, gram)
-    single = written(not_first(written(close, "windows"), alone=False), "singles")
+    runs, single = compared(docs, window, gram, both=False)
     gone = runs.filter("kind = 0").select("doc_id", "place").union(resolved(single))
 
     def run(batches):

@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
-from .substring_dedup import listed, not_first, resolved, seeds, unplaced, windows_of
+from .substring_dedup import compared, listed, resolved, unplaced
 
 
 def repeats(docs: DataFrame, *, least: int = 50, gram: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,9 +29,7 @@ def repeats(docs: DataFrame, *, least: int = 50, gram: int = 8, id_col: str = "d
     document. Other columns aren't read.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    suffixes = written(not_first(seeds(docs, least, gram), alone=True, both=True), "suffixes")
-    close = windows_of(docs, suffixes.filter("kind = 1").select("doc_id", "place"), least, gram)
-    single = written(not_first(written(close, "contexts"), alone=False, both=True), "extended")
+    suffixes, single = compared(docs, least, gram, both=True)
     found = suffixes.filter("kind = 0").select("doc_id", "place").union(resolved(single, both=True))
 
     def run(batches):
