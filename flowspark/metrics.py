@@ -45,3 +45,32 @@ def setup_tracing(spark: SparkSession, log_level: str = "ERROR") -> Progress:
     progress = Progress()
     spark.streams.addListener(progress)
     return progress
+
+
+def serve(flow, progress: Progress, port: int = 3030):
+    """Serves the step graph at /dataflow and the counts, in Prometheus' form, at /metrics; returns the server, whose shutdown() ends it."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    from .plans import to_json
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            if self.path == "/dataflow":
+                kind, body = "application/json", to_json(flow)
+            elif self.path == "/metrics":
+                kind, body = "text/plain", "".join(f'{n}{{step_id="{q}"}} {v:g}\n' for q, own in progress.counts.items() for n, v in own.items())
+            else:
+                self.send_error(404)
+                return
+            self.send_response(200)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args) -> None:
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", port), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    return server

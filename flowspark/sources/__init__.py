@@ -220,9 +220,15 @@ def _read_parts(spark: SparkSession, names: list[str], build: Callable[[str], An
 
 
 class FixedPartitionedSource(Source):
-    """A source of named parts, each read by one task. schema is the DDL of its items."""
+    """A source of named parts. schema is the DDL of its items.
+
+    Bounded parts are read to their end, each by one task. With stream, a streaming query polls them on the driver, a
+    batch of each an epoch; its offset holds their snapshots, from which a restart goes on. That suits sources with few
+    items; others should write files for ``ParquetSource`` or come through Kafka.
+    """
 
     schema: str = "string"
+    stream: bool = False
 
     @abstractmethod
     def list_parts(self) -> list[str]: ...
@@ -231,7 +237,11 @@ class FixedPartitionedSource(Source):
     def build_part(self, step_id: str, for_part: str, resume_state: Any) -> StatefulSourcePartition: ...
 
     def read(self, spark):
-        return _read_parts(spark, sorted(self.list_parts()), lambda name: self.build_part("input", name, None), self.schema)
+        if not self.stream:
+            return _read_parts(spark, sorted(self.list_parts()), lambda name: self.build_part("input", name, None), self.schema)
+        name = f"flowspark_parts_{id(self)}"
+        spark.dataSource.register(_data_source(name, schema_of(self.schema), _PartsReader, pickle_by_value(self)))
+        return spark.readStream.format(name).load()
 
 
 class DynamicSource(Source):
@@ -282,7 +292,7 @@ class SimplePollingSource(Source):
 
     def read(self, spark):
         name = f"flowspark_polling_{id(self)}"
-        spark.dataSource.register(_polling(name, pickle_by_value(self), schema_of(self.schema)))
+        spark.dataSource.register(_data_source(name, schema_of(self.schema), _PollingReader, pickle_by_value(self)))
         return spark.readStream.format(name).load()
 
 
@@ -292,39 +302,101 @@ def pickle_by_value(x) -> bytes:
     return cloudpickle.dumps(x)
 
 
-def _polling(name: str, pickled: bytes, kind):
-    class Reader(SimpleDataSourceStreamReader):
-        def __init__(self):
-            self.source, self.due = pickle.loads(pickled), None
+def _to_text(state: Any) -> str:
+    return pickle.dumps(state).hex()
 
-        def initialOffset(self):
-            return {"n": 0, "state": ""}
 
-        def read(self, start):
-            now = datetime.now(timezone.utc)
-            if self.due is None:
-                if start["state"]:
-                    self.source.resume(pickle.loads(bytes.fromhex(start["state"])))
-                self.due = self.source.first_awake(now)
-            if now < self.due:
-                return iter(()), start
-            self.due += self.source.interval
-            try:
-                item = self.source.next_item()
-            except Retry as e:
-                self.due = now + e.timeout
-                return iter(()), start
-            write = writer(kind.names, "input")
-            rows = [] if item is None else [tuple(write(item)[n] for n in kind.names)]
-            return iter(rows), {"n": start["n"] + 1, "state": pickle.dumps(self.source.snapshot()).hex()}
-
-        def readBetweenOffsets(self, start, end):
-            return iter(())
-
-        def commit(self, end):
-            pass
+def _from_text(text: str) -> Any:
+    return pickle.loads(bytes.fromhex(text))
+
+
+class _PollingReader(SimpleDataSourceStreamReader):
+    """Reads a SimplePollingSource: an item an epoch, when its time has come. What a crash leaves uncommitted is asked for anew."""
+
+    def __init__(self, source: SimplePollingSource, kind):
+        self.source, self.write, self.names, self.due = source, writer(kind.names, "input"), kind.names, None
+
+    def initialOffset(self):
+        return {"n": 0, "state": ""}
+
+    def read(self, start):
+        now = datetime.now(timezone.utc)
+        if self.due is None:
+            if start["state"]:
+                self.source.resume(_from_text(start["state"]))
+            self.due = self.source.first_awake(now)
+        if now < self.due:
+            return iter(()), start
+        self.due += self.source.interval
+        try:
+            item = self.source.next_item()
+        except Retry as e:
+            self.due = now + e.timeout
+            return iter(()), start
+        new = [] if item is None else [self.write(item)]
+        return iter([tuple(r[n] for n in self.names) for r in new]), {"n": start["n"] + 1, "state": _to_text(self.source.snapshot())}
+
+    def readBetweenOffsets(self, start, end):
+        return iter(())
+
+    def commit(self, end):
+        pass
+
+
+class _PartsReader(SimpleDataSourceStreamReader):
+    """Reads a FixedPartitionedSource: a batch of each part an epoch."""
+
+    def __init__(self, source: FixedPartitionedSource, kind):
+        self.source, self.write, self.names = source, writer(kind.names, "input"), kind.names
+        self.parts: dict[str, StatefulSourcePartition] = {}
+        self.ended: set[str] = set()
+
+    def initialOffset(self):
+        return {}
+
+    def _part(self, name: str, offset: dict) -> StatefulSourcePartition:
+        if name not in self.parts:
+            self.parts[name] = self.source.build_part("input", name, _from_text(offset[name]) if name in offset else None)
+        return self.parts[name]
+
+    def _batch(self, part) -> list[tuple] | None:
+        due = part.next_awake()
+        if due is not None and due > datetime.now(timezone.utc):
+            return []
+        try:
+            return [tuple(r[n] for n in self.names) for r in (self.write(x) for x in part.next_batch())]
+        except StopIteration:
+            return None
+
+    def read(self, start):
+        rows, end = [], dict(start)
+        for name in sorted(self.source.list_parts()):
+            if name in self.ended:
+                continue
+            part = self._part(name, start)
+            if (new := self._batch(part)) is None:
+                self.ended.add(name)
+            elif new:
+                rows += new
+                end[name] = _to_text(part.snapshot())
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start, end):
+        rows = []
+        for name, state in end.items():
+            if start.get(name) == state:
+                continue
+            part = self.source.build_part("input", name, _from_text(start[name]) if name in start else None)
+            while _to_text(part.snapshot()) != state and (new := self._batch(part)) is not None:
+                rows += new
+        return iter(rows)
+
+    def commit(self, end):
+        pass
+
 
-    class Polling(DataSource):
+def _data_source(name: str, kind, reader, pickled: bytes):
+    class Own(DataSource):
         @classmethod
         def name(cls):
             return name
@@ -333,9 +405,9 @@ def _polling(name: str, pickled: bytes, kind):
             return kind
 
         def simpleStreamReader(self, schema):
-            return Reader()
+            return reader(pickle.loads(pickled), kind)
 
-    return Polling
+    return Own
 
 
 @dataclass

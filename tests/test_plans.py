@@ -59,3 +59,19 @@ def test_the_llm_package_is_not_needed():
     for path in (Path(__file__).parent.parent / "flowspark").rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"^\s*(from|import) .*\bllm\b", path.read_text(), re.M), path
+
+
+def test_graph_and_counts_are_served(flow):
+    from urllib.request import urlopen
+
+    from flowspark.metrics import Progress, serve
+
+    progress = Progress()
+    progress.counts["drawn.out"]["item_inp_count"] = 5
+    server = serve(flow, progress, port=0)
+    try:
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        assert json.loads(urlopen(f"{at}/dataflow").read())["flow_id"] == "drawn"
+        assert urlopen(f"{at}/metrics").read() == b'item_inp_count{step_id="drawn.out"} 5\n'
+    finally:
+        server.shutdown()

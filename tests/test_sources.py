@@ -232,6 +232,20 @@ def test_polling_stream(spark):
     assert out == [1, 2, 3]
 
 
+class LiveTens(Tens):
+    stream = True
+
+
+def test_parts_stream_and_go_on(spark, tmp_path):
+    recovery, got = RecoveryConfig(str(tmp_path / "state")), []
+    for _ in range(2):
+        flow, out = Flow("parts", spark), []
+        op.output("out", op.input("inp", flow, LiveTens()), TestingSink(out))
+        run_main(flow, epoch_interval=timedelta(milliseconds=10), recovery_config=recovery, timeout=12)
+        got.append(sorted(out))
+    assert got == [[10, 11, 12, 20, 21, 22], []]
+
+
 def streamed(spark, folder, schema="_arrival long, key string, value long, _sub long"):
     return spark.readStream.schema(schema).parquet(f"{folder}/*")
 
