@@ -7,10 +7,23 @@ import numpy as np
 #: Words of the whole-text operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words that a worker remembers between documents; beyond it the memory starts afresh.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 450_000
+#: The same for pieces of text and their tokens, which cost more to find.
+MEMO_PIECES = 900_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def kept_in_worker(key, make):
+    """What make() gives, made once in each Python worker and kept for its later tasks."""
+    import sys
+    from types import ModuleType
+
+    kept = sys.modules.setdefault("_flowspark_worker", ModuleType("_flowspark_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text. ``bytes.split`` separates at exactly the characters that WORD excludes."""
     return text.split() if text else []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import scratch, written
-from ._text import MEMO_WORDS
+from ._text import MEMO_PIECES, kept_in_worker
 from .token_count import piece_encoder
 
 #: How many ids of how many bits a word holds, by its selector, the top 4 bits. Selector 15 is 120 zeros without payload.
@@ -20,68 +20,85 @@ ZEROS = 120
 #: Ids in a block; each block starts a new word, so blocks are decoded side by side.
 BLOCK = 4096
 #: Ids after which a file is closed.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 MAGIC = b"S8BFILE1"
 
 
-def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the first word of each block and the end, and the places of escaped ids (those of over 60 bits, coded as 0).
+def _window_max(x: np.ndarray, n: int) -> np.ndarray:
+    size = 1
+    while size * 2 <= n:
+        x, size = np.maximum(x[:-size], x[size:]), size * 2
+    return np.maximum(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
-    A word takes as many of the next ids as fit together; at the end of a block zeros are thought to follow.
-    """
-    ids = np.asarray(ids, np.uint64)
-    blocks = -(-len(ids) // BLOCK)
-    escaped = np.flatnonzero(ids >> np.uint64(60))
-    padded = np.zeros((blocks, BLOCK + ZEROS), np.uint64)
-    for k in range(blocks):
-        own = ids[k * BLOCK : (k + 1) * BLOCK]
-        padded[k, : len(own)] = own
-    padded[escaped // BLOCK, escaped % BLOCK] = 0
-    # bits of each id, then for each place the first layout that takes the ids from there on
-    width = np.zeros(padded.shape, np.uint8)
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """0 for a zero, else k for an id that fits in the bits of layout k - 1 and of no earlier one."""
+    width = np.zeros(ids.shape, np.uint8)
     for _, bits in [(0, 0), *LAYOUT][:-1]:
-        width += padded >> np.uint64(bits) != 0
-    flat = width.ravel()  # 0: zero; k: fits in layout k - 1's bits
-    choice = np.full(flat.shape, 14, np.uint8)
+        width += ids >> ids.dtype.type(bits) != 0
+    return width
+
+
+#: The same for each id of up to 16 bits.
+_WIDTHS = _widths(np.arange(1 << 16, dtype=np.uint32))
+
+
+def _codes(blocks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of some blocks, given as rows with zeros after their ids, and how many words each has."""
+    flat = (_WIDTHS[blocks] if blocks.max() < len(_WIDTHS) else _widths(blocks)).ravel()
+    choice = np.full(flat.shape, len(LAYOUT), np.uint8)  # for each place the first layout that takes the ids from there on
     for k in range(len(LAYOUT) - 1, -1, -1):
-        n = LAYOUT[k][0]
-        top, size = flat, 1
-        while size * 2 <= n:
-            top, size = np.maximum(top[:-size], top[size:]), size * 2
-        if size < n:
-            top = np.maximum(top[: len(top) - (n - size)], top[n - size :])
-        choice[: len(top)][top <= k + 1] = k + 1
-    run = np.convolve(flat == 0, np.ones(ZEROS, np.int32))[ZEROS - 1 : len(flat)] if len(flat) >= ZEROS else np.zeros(0)
-    choice[: len(run)][run == ZEROS] = 15
+        fits = _window_max(flat, LAYOUT[k][0]) <= k + 1
+        np.copyto(choice[: len(fits)], k + 1, where=fits)
+    if len(flat) >= ZEROS:
+        fits = _window_max(flat, ZEROS) == 0
+        np.copyto(choice[: len(fits)], 15, where=fits)
     taken = np.array([0, *(n for n, _ in LAYOUT), ZEROS])
-    length = np.full(blocks, BLOCK)
-    if blocks:
-        length[-1] = len(ids) - (blocks - 1) * BLOCK
     # all blocks advance together, a word at a time
-    at, own, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
+    at, own, steps = np.zeros(len(blocks), np.int64), np.arange(len(blocks)), []
     while len(own):
-        picked = choice[own * padded.shape[1] + at[own]]
-        steps.append((own, at[own], picked))
+        start = own * blocks.shape[1] + at[own]
+        picked = choice[start]
+        steps.append((own, start, picked))
         at[own] += taken[picked]
-        own = own[at[own] < length[own]]
-    if not steps:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), escaped
-    block, place, picked = (np.concatenate(x) for x in zip(*steps, strict=True))
+        own = own[at[own] < lengths[own]]
+    block, start, picked = (np.concatenate(x) for x in zip(*steps, strict=True))
     order = np.argsort(block, kind="stable")
-    block, place, picked = block[order], place[order], picked[order]
+    start, picked = start[order], picked[order]
     words = picked.astype(np.uint64) << np.uint64(60)
-    start = block * padded.shape[1] + place
-    values = padded.ravel()
+    values = blocks.ravel()
     for k, (n, bits) in enumerate(LAYOUT):
         own = np.flatnonzero(picked == k + 1)
-        if len(own):
-            for j in range(n):
-                words[own] |= values[start[own] + j] << np.uint64(j * bits)
-    return words, np.searchsorted(block, np.arange(blocks + 1)), escaped
+        for j in range(n if len(own) else 0):
+            words[own] |= values[start[own] + j].astype(np.uint64) << np.uint64(j * bits)
+    return words, np.bincount(block, minlength=len(blocks))
+
+
+def encode(ids: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the first word of each block and the end, and the places of escaped ids (those of over 60 bits, coded as 0).
+
+    A word takes as many of the next ids as fit together; at the end of a block zeros are thought to follow.
+    """
+    escaped = np.flatnonzero(ids >> np.uint64(60)) if ids.dtype.itemsize == 8 else np.zeros(0, np.int64)
+    if len(escaped):
+        ids = ids.copy()
+        ids[escaped] = 0
+    words, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for first in range(0, len(ids), at_once * BLOCK):
+        own = ids[first : first + at_once * BLOCK]
+        n = -(-len(own) // BLOCK)
+        rows = np.zeros((n, BLOCK + ZEROS), own.dtype)
+        rows[: len(own) // BLOCK, :BLOCK] = own[: len(own) // BLOCK * BLOCK].reshape(-1, BLOCK)
+        if len(own) % BLOCK:
+            rows[-1, : len(own) % BLOCK] = own[len(own) // BLOCK * BLOCK :]
+        code, each = _codes(rows, np.minimum(len(own) - np.arange(n) * BLOCK, BLOCK))
+        words.append(code)
+        counts.append(each)
+    return np.concatenate(words), np.cumsum(np.concatenate(counts)), escaped
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
-    """The ids of all blocks, escaped ones as 0."""
+    """The ids of all blocks, escaped ones as 0; each selector's words are unpacked together."""
     out = np.zeros(n_ids, np.uint64)
     if not n_ids:
         return out
@@ -105,7 +122,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byte
     words, offsets, escaped = encode(ids)
     counts = np.array([len(doc_ids), len(ids), len(words), len(offsets) - 1, len(escaped)], "<u8")
     known = np.array([x is not None for x in doc_ids], np.uint8)
-    parts = [np.array([x or 0 for x in doc_ids], "<i8"), known, np.array(lengths, "<u8"), offsets.astype("<u8"), words.astype("<u8"), escaped.astype("<u8"), np.asarray(ids, np.uint64)[escaped].astype("<u8")]
+    parts = [np.array([x or 0 for x in doc_ids], "<i8"), known, np.array(lengths, "<u8"), offsets.astype("<u8"), words.astype("<u8"), escaped.astype("<u8"), ids[escaped].astype("<u8")]
     return b"".join([MAGIC, counts.tobytes(), *(x.tobytes() for x in parts)])
 
 
@@ -129,20 +146,34 @@ def text_encoder(path: str):
 
     Pieces between ASCII white space are encoded once and remembered: white space never lies in a token.
     """
+    from functools import cache
+    from struct import Struct
+
     cut, merge = piece_encoder(path)
+    pack_ids = cache(lambda n: Struct(f"<{n}I").pack)
 
     class Pieces(dict):
         def __missing__(self, piece: bytes) -> bytes:
-            text = piece.decode("utf-8", "replace")
-            tokens = cut(text)
-            ids = merge(text, True) if tokens is None else [i for t in tokens for i in merge(t, False)]
-            value = self[piece] = np.array(ids, "<u4").tobytes()
+            low = piece.lower() if piece.isascii() else piece
+            if low != piece:
+                value = self[low]
+            elif low.isascii() and low.isalpha():  # a pre-token as it stands
+                ids = merge(low.decode(), False)
+                value = pack_ids(len(ids))(*ids)
+            elif low.isascii() and low[:-1].isalpha() and low[-1:] in b".,;:!?":  # two
+                value = self[low[:-1]] + self[low[-1:]]
+            else:
+                text = piece.decode("utf-8", "replace")
+                tokens = cut(text)
+                ids = merge(text, True) if tokens is None else [i for t in tokens for i in merge(t, False)]
+                value = pack_ids(len(ids))(*ids)
+            self[piece] = value
             return value
 
     pieces = Pieces()
 
     def run(text: bytes | None) -> bytes:
-        if len(pieces) > MEMO_WORDS:
+        if len(pieces) > MEMO_PIECES:
             pieces.clear()
         return b"".join(map(pieces.__getitem__, text.split())) if text else b""
 
@@ -167,7 +198,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        part, encoder, tail = TaskContext.get().partitionId(), text_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        part, encoder, tail = TaskContext.get().partitionId(), kept_in_worker(("text_encoder", tokenizer_path), lambda: text_encoder(tokenizer_path)), np.array([end_id], "<u4").tobytes()
         doc_ids, lengths, chunks, held, files = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
@@ -208,11 +239,11 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with store.open_input_stream(path) as f:
                     doc_ids, lengths, ids = unpack(f.read())
-                ends = np.cumsum(lengths)
+                ends, ids = np.cumsum(lengths), ids.astype("<u4")
                 starts = ends - lengths
                 for at in range(0, len(doc_ids), 1000):
                     own = slice(at, at + 1000)
-                    data = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[own], ends[own], strict=True)]
+                    data = [ids[a:b].tobytes() for a, b in zip(starts[own], ends[own], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc_ids[own], pa.int64()), pa.array(base + starts[own], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "start", "ids"]
                     )

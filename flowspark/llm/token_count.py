@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import MEMO_WORDS
+from ._text import MEMO_PIECES, kept_in_worker
 
 #: How the tokenizer splits lower-case text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -103,7 +103,7 @@ def token_counter(path: str, whole: frozenset[str]):
     def count(texts: list[bytes | None]) -> list[int]:
         out = []
         for text in texts:
-            if len(pieces) > MEMO_WORDS:
+            if len(pieces) > MEMO_PIECES:
                 pieces.clear()
                 merged.clear()
             words = text.split() if text else []
@@ -127,7 +127,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, id_
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = token_counter(tokenizer_path, whole.value)
+        counter = kept_in_worker(("token_counter", tokenizer_path), lambda: token_counter(tokenizer_path, whole.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
