@@ -200,7 +200,11 @@ def plan(shards: tuple[Shard, ...], target_bytes: int, final: bool = False) -> l
 
 
 def sharded(docs: DataFrame, folder: str, *, target_bytes: int = TARGET_BYTES, rows_per_shard: int = 0) -> tuple[ShardStore, Manifest]:
-    """Appends docs to the store in folder, compacts it, and drops what the last version doesn't need."""
+    """Appends docs to the store in folder, compacts it, and drops what the last version doesn't need.
+
+    Rows are kept as they are, whatever their columns hold: nulls, texts of any length, repeated rows. An empty table
+    makes a version whose shards hold its schema and no rows. Column names must differ by more than case, as Parquet asks.
+    """
     store = ShardStore(docs.sparkSession, folder)
     store.append(docs, rows_per_shard)
     manifest = store.compact(target_bytes, final=True)
