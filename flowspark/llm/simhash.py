@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col:
     linked = components(links(classes.select("print"), radius))
     named = classes.join(linked, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("label", "print").alias("label"))
     named = written(named, "classes")
-    merged = named.filter("label <> print").select("label").distinct().join(named, "label").groupBy("label").agg(F.min("least").alias("component_id"))
-    joined = named.join(merged, "label", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    merged = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    joined = named.join(merged, "label").select("print", "component_id")
     out = prints.join(joined, "print")
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
