@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .. import functions
+from ..functions import before_slice, sliced
 from ..items import BATCH_ROWS, by_key, reader, schema_of, writer
 from ..streaming.logic import CollectLogic, FlatMapLogic, Itemwise, StatefulBatchLogic, StatefulLogic, drive
 from ..streaming.processor import stateful_stream, utc_now
@@ -132,8 +134,14 @@ def collect(step_id: str, up: Stream, timeout: timedelta, max_size: int) -> Stre
     if up.df.isStreaming:
         kind = up.df.select(value.alias(VALUE)).schema[VALUE].dataType
         return stateful("stateful", up, lambda state: CollectLogic(timeout, max_size, utc_now, state), f"array<{kind.simpleString()}>")
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy(*up.order)) - 1
-    rows = up.df.select(KEY, value.alias("v"), up.order_key.alias("o"), F.floor(place / max_size).cast("long").alias("chunk"))
+    if up.ordered:  # a row's number is that in its slice of the key, after all of the slices before
+        own = sliced(up.df, ARRIVAL, functions.ARRIVAL_SLICE_BITS)
+        earlier = before_slice(own.groupBy(KEY, "_slice").agg(F.count("*").alias("_n")), (KEY,), {"_earlier": F.sum("_n")})
+        numbered = own.withColumn("_n", F.row_number().over(Window.partitionBy(KEY, "_slice").orderBy(*up.order))).join(earlier, [KEY, "_slice"])
+        place = F.coalesce("_earlier", F.lit(0)) + F.col("_n") - 1
+    else:
+        numbered, place = up.df, F.row_number().over(Window.partitionBy(KEY).orderBy(*up.order)) - 1
+    rows = numbered.select(KEY, value.alias("v"), up.order_key.alias("o"), F.floor(place / max_size).cast("long").alias("chunk"))
     lists = rows.groupBy(KEY, "chunk").agg(F.sort_array(F.collect_list(F.struct("o", "v"))).alias("xs"), F.max("o").alias("o"))
     out = lists.select(KEY, F.transform("xs", lambda x: x["v"]).alias(VALUE), *((F.col("o")[f"o{k}"]).alias(c) for k, c in enumerate(ORDER) if up.ordered))
     return up.with_df(out)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import flowspark.operators as op
-from flowspark import Flow, operator, run_main
+from flowspark import Flow, functions, operator, run_main
 from flowspark.operators.helpers import map_dict_value, map_field
 from flowspark.testing import TestingSink, TestingSource
 
@@ -160,7 +160,9 @@ def test_max_and_min_final_take_the_first_of_equals(go, native):
     assert go(lambda s: op.min_final("m", s, by), rows, "key string, val bigint, n bigint") == [("a", {"val": 1, "n": 0})]
 
 
-def test_collect(go):
+@pytest.mark.parametrize("bits", [1, 20])
+def test_collect(go, monkeypatch, bits):
+    monkeypatch.setattr(functions, "ARRIVAL_SLICE_BITS", bits)  # 1: the key is cut into five
     assert go(lambda s: op.collect("c", s, timedelta(seconds=10), 3), keyed(range(10)), KV) == [("ALL", x) for x in ([0, 1, 2], [3, 4, 5], [6, 7, 8], [9])]
 
 
