@@ -96,14 +96,15 @@ def _estimate(frame: DataFrame, mean: list[Column], cov: list[list[Column]]) ->
     """Columns m and i from those of means and covariances: the Cholesky factor, then its inverse, entry by entry."""
     d = range(_DIM)
     frame = frame.select("group", *(mean[r].alias(f"m{r}") for r in d), *(cov[r][c].alias(f"c{r}{c}") for r in d for c in d if c <= r))
+    less = lambda r, c: F.col(f"c{r}{c}") - sum((F.col(f"l{r}{k}") * F.col(f"l{c}{k}") for k in range(c)), F.lit(0.0))
     for c in d:
-        for r in range(c, _DIM):
-            rest = F.col(f"c{r}{c}") - sum((F.col(f"l{r}{k}") * F.col(f"l{c}{k}") for k in range(c)), F.lit(0.0))
-            frame = frame.withColumn(f"l{r}{c}", F.sqrt(rest) if r == c else rest / F.col(f"l{c}{c}"))
-    for c in d:
-        for r in range(c, _DIM):
-            rest = F.lit(1.0) if r == c else -sum((F.col(f"l{r}{k}") * F.col(f"i{k}{c}") for k in range(c, r)), F.lit(0.0))
-            frame = frame.withColumn(f"i{r}{c}", rest / F.col(f"l{r}{r}"))
+        frame = frame.withColumn(f"l{c}{c}", F.sqrt(less(c, c)))
+        if c + 1 < _DIM:
+            frame = frame.withColumns({f"l{r}{c}": less(r, c) / F.col(f"l{c}{c}") for r in range(c + 1, _DIM)})
+    frame = frame.withColumns({f"i{r}{r}": 1 / F.col(f"l{r}{r}") for r in d})
+    for gap in range(1, _DIM):
+        rest = lambda r, c: sum((F.col(f"l{r}{k}") * F.col(f"i{k}{c}") for k in range(c, r)), F.lit(0.0))
+        frame = frame.withColumns({f"i{c + gap}{c}": -rest(c + gap, c) / F.col(f"l{c + gap}{c + gap}") for c in range(_DIM - gap)})
     return frame.select("group", *(f"m{r}" for r in d), *(f"i{r}{c}" for r in d for c in d if c <= r))
 
 
