@@ -219,12 +219,17 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col:
 
 
 def deduplicated(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without near-duplicates: of each group of ``near_duplicates`` the one with the smallest id stays.
+    """The documents, with all their columns, without near-duplicates: of each group of ``near_duplicates`` the one with the smallest id stays; see ``without``."""
+    return without(docs, near_duplicates(docs, radius=radius, width=width, id_col=id_col, text_col=text_col), id_col, text_col)
+
+
+def without(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which groups (doc_id, component_id) names the id as its component's, with all their columns.
 
     Rows that share an id are judged together: they stay if one of them is its group's smallest, and of those that share
     the text too one stays. Documents with a null id stay, as no group can name them.
     """
-    groups = written(near_duplicates(docs, radius=radius, width=width, id_col=id_col, text_col=text_col), "groups").filter("doc_id IS NOT NULL")
+    groups = written(groups, "groups").filter("doc_id IS NOT NULL")
     ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
     ids = written(ids.filter("n > 1 OR NOT stays"), "ids")  # few next to those that stay, so that the texts need not move as long as these fit a broadcast
     names = [f"d{k}" for k in range(len(docs.columns))]
