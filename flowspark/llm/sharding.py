@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,12 @@ TARGET_BYTES = 64 << 20
 TIER_FACTOR = 4
 #: A tier is merged once it has this many shards.
 FAN_IN = 4
-#: Merged shards that one Spark job writes.
+#: Rows of a shard as it arrives, and how many arrivals a whole table is dealt into.
+ARRIVAL_ROWS = 4096
+ARRIVALS = 8
+#: Merged shards that one version adds, and how many are written at a time.
 JOB_SHARDS = 64
+JOBS = 8
 
 
 @dataclass(frozen=True)
@@ -93,12 +98,28 @@ class ShardStore:
 
     def append(self, rows: DataFrame, rows_per_shard: int = 0) -> Manifest:
         """Writes rows as small shards, one or more for each of their partitions, and commits them after those that are there."""
+        return self.add(self.write(rows, rows_per_shard))
+
+    def write(self, rows: DataFrame, rows_per_shard: int = 0, target_bytes: int = 0) -> list[Shard]:
+        """Writes rows as shards that no version lists yet; with target_bytes, none is larger unless it holds one row only."""
         folder = f"data/{uuid.uuid4().hex}"
         writer = rows.write.option("compression", "zstd")
         if rows_per_shard:
             writer = writer.option("maxRecordsPerFile", rows_per_shard)
         writer.parquet(f"{self.folder}/{folder}")
-        new = self._files(folder)
+        return [piece for s in self._files(folder) for piece in (self._cut(s, target_bytes) if target_bytes else [s])]
+
+    def _cut(self, shard: Shard, target_bytes: int) -> list[Shard]:
+        if shard.n_bytes <= target_bytes:
+            return [shard]
+        rows = self.spark.read.parquet(f"{self.folder}/{shard.path}")
+        n = rows.count()
+        if n <= 1:
+            return [shard]
+        return self.write(rows.coalesce(1), max(1, n // (2 * -(-shard.n_bytes // target_bytes))), target_bytes)
+
+    def add(self, new: list[Shard]) -> Manifest:
+        """Commits written shards after those that are there."""
         while True:  # other writers' shards stay; only the list is made anew
             now = self.manifest()
             try:
@@ -122,15 +143,15 @@ class ShardStore:
         while groups := plan(self.manifest().shards, target_bytes, final):
             for at in range(0, len(groups), JOB_SHARDS):
                 before, own = self.manifest(), groups[at : at + JOB_SHARDS]
-                folder = f"data/{uuid.uuid4().hex}"
-                first = self.read(before, own[0])
-                schema = first.schema
-                parts = [self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in g)).coalesce(1) for g in own]
-                merged = parts[0]
-                for part in parts[1:]:
-                    merged = merged.union(part)
-                merged.write.option("compression", "zstd").parquet(f"{self.folder}/{folder}")
-                self._replace([s for g in own for s in g], self._files(folder))
+                schema = self.read(before, own[0]).schema
+
+                def merged(group: list[Shard], schema=schema) -> list[Shard]:
+                    # a job for each: a union of single partitions is itself a single one
+                    return self.write(self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in group)).coalesce(1))
+
+                with ThreadPoolExecutor(JOBS) as pool:
+                    new = [s for shards in pool.map(merged, own) for s in shards]
+                self._replace([s for g in own for s in g], new)
         return self.manifest()
 
     def _replace(self, old: list[Shard], new: list[Shard]) -> None:
@@ -199,14 +220,20 @@ def plan(shards: tuple[Shard, ...], target_bytes: int, final: bool = False) -> l
     return [g for g in groups if len(g) > 1]
 
 
-def sharded(docs: DataFrame, folder: str, *, target_bytes: int = TARGET_BYTES, rows_per_shard: int = 0) -> tuple[ShardStore, Manifest]:
-    """Appends docs to the store in folder, compacts it, and drops what the last version doesn't need.
+def sharded(docs: DataFrame, folder: str, *, target_bytes: int = TARGET_BYTES, rows_per_shard: int = ARRIVAL_ROWS, arrivals: int = ARRIVALS) -> tuple[ShardStore, Manifest]:
+    """Adds docs to the store in folder by small arrivals, compacts its tiers after each, packs the tail, and drops what the last version doesn't need.
 
-    Rows are kept as they are, whatever their columns hold: nulls, texts of any length, repeated rows. An empty table
-    makes a version whose shards hold its schema and no rows. Column names must differ by more than case, as Parquet asks.
+    One job writes shards of up to rows_per_shard rows, none above target_bytes unless it is a single row; they are
+    committed arrival by arrival. Rows are kept as they are, whatever their columns hold: nulls, texts of any length,
+    repeated rows. An empty table makes a version whose shards hold its schema and no rows. Column names must differ by
+    more than case, as Parquet asks.
     """
     store = ShardStore(docs.sparkSession, folder)
-    store.append(docs, rows_per_shard)
+    new = store.write(docs, rows_per_shard, target_bytes)
+    each = max(1, -(-len(new) // arrivals))
+    for at in range(0, len(new), each):
+        store.add(new[at : at + each])
+        store.compact(target_bytes)
     manifest = store.compact(target_bytes, final=True)
     store.vacuum()
     return store, manifest

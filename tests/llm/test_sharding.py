@@ -61,6 +61,34 @@ def test_placements(spark, table):
     assert sharding.placements(*sharding.sharded(docs.limit(0), scratch(spark, "shards"))).count() == 0
 
 
+def test_arrivals_are_compacted_by_tiers(spark, table, monkeypatch):
+    draw = random.Random(4)
+    docs = table([prose(draw, 200, 100_000) for _ in range(1200)]).coalesce(1)
+    merged = {True: 0, False: 0}
+
+    def spy(shards, target_bytes, final=False):
+        groups = plan(shards, target_bytes, final)
+        merged[final] += len(groups)
+        return groups
+
+    monkeypatch.setattr(sharding, "plan", spy)
+    store, manifest = sharding.sharded(docs, scratch(spark, "shards"), target_bytes=200_000, rows_per_shard=25)
+    assert merged[False] > 0
+    assert manifest.version > sharding.ARRIVALS
+    assert len(manifest.shards) > 1
+    assert sorted(map(str, store.read(manifest).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_shards_are_bounded_when_written(spark, table):
+    draw = random.Random(4)
+    docs = table([prose(draw, 200, 100_000) for _ in range(600)]).coalesce(1)
+    store, manifest = sharding.sharded(docs, scratch(spark, "shards"), target_bytes=100_000)
+    assert max(s.n_bytes for s in manifest.shards) <= 100_000
+    assert store.read(manifest).count() == 600
+    one = sharding.sharded(table(["x" * 50 + prose(draw, 3000, 100_000)]), scratch(spark, "shards"), target_bytes=5000)[1]
+    assert any(s.n_bytes > 5000 for s in one.shards)  # a row is never cut
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from flowspark.llm import decontamination, mixing, quality, simhash
