@@ -154,7 +154,7 @@ def text_encoder(path: str):
 
     class Pieces(dict):
         def __missing__(self, piece: bytes) -> bytes:
-            low = piece.lower() if piece.isascii() else piece
+            low = piece.lower() if piece.isascii() and b"<" not in piece else piece  # special strings match in their own case only
             if low != piece:
                 value = self[low]
             elif low.isascii() and low.isalpha():  # a pre-token as it stands

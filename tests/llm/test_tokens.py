@@ -104,3 +104,12 @@ def test_null_and_repeated_ids(table, tokenizer):
     got = sorted(((r.start, r.doc_id, len(r.ids)) for r in id_output.round_trip(docs, tokenizer).collect()))
     assert [d for _, d, _ in got] == [None, None, 5, 5, 5]
     assert [s for s, _, _ in got] == [0, 1, 3, 5, 7]
+
+
+def test_special_strings_match_in_their_own_case_only(tokenizer):
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(tokenizer), id_output.text_encoder(tokenizer)
+    for s in ("<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "x<|EndOfText|>Y", "X<|endoftext|>Y", "<B>"):
+        for text in (f"a {s} b", f"A {s.lower()} {s}", f"{s} {s.lower()}"):
+            assert np.frombuffer(encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
