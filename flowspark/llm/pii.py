@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import date, timedelta
+from datetime import date
 from hashlib import blake2b
 from math import isqrt
 
@@ -12,20 +12,25 @@ from pyspark.sql import DataFrame
 
 ROUNDS = 10
 KINDS = ("card", "iban", "phone", "ssn", "ipv4", "date", "email", "token")
-_FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+YEARS = (1900, 2099)
 #: How each kind is written. A match counts only if its check accepts it.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<token>(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9]))"
     r"|(?P<ipv4>(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9]))"
-    r"|(?P<date>(?<![A-Za-z0-9./-])(?:[0-9]{4}(?P<y>[-/.])[0-9]{1,2}(?P=y)[0-9]{1,2}|[0-9]{1,2}(?P<z>[-/.])[0-9]{1,2}(?P=z)[0-9]{4})(?![A-Za-z0-9/-]|\.[0-9]))"
+    r"|(?P<date>(?<![A-Za-z0-9./-])(?:[0-9]{4}(?P<y>[-/.])[0-9]{1,2}(?P=y)[0-9]{1,2}|[0-9]{1,2}(?P<z>[-/.])[0-9]{1,2}(?P=z)[0-9]{4})(?:(?=[Tt][0-9]{2}:)|(?![A-Za-z0-9/-]|\.[0-9])))"
     r"|(?P<ssn>(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-]))"
     r"|(?P<card>(?<![A-Za-z0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9]|[.-][0-9]))"
     r"|(?P<phone>(?<![A-Za-z0-9+.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])\+[0-9]{8,15}(?![A-Za-z0-9]))"
 )
 
 
+#: Digit groups of cards (others are of one size but for a shorter last one) and of North American phone numbers.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4))
+PHONE_GROUPS = ((3, 3, 4), (1, 3, 3, 4))
+
+
 class Permutation:
     """Keyed permutations of the whole numbers below any n: a Feistel network over pairs, walked until it lands below n."""
 
@@ -92,8 +97,9 @@ def classes(text: str, tweak: bytes, permute: Permutation, back: bool) -> str:
 
 
 def _card(text, permute, back):
-    digits = re.sub("[^0-9]", "", text)
-    if luhn(digits) or len(set(digits)) == 1:
+    digits, sizes = re.sub("[^0-9]", "", text), tuple(map(len, re.findall("[0-9]+", text)))
+    even = len(set(sizes[:-1])) == 1 and sizes[0] >= max(4, sizes[-1])
+    if luhn(digits) or len(set(digits)) == 1 or len(sizes) > 1 and not (len({*re.sub("[0-9]", "", text)}) == 1 and (even or sizes in CARD_GROUPS)):
         return None
     middle = permute(int(digits[1:-1]), 10 ** (len(digits) - 2), b"card" + digits[:1].encode(), back)
     body = f"{digits[0]}{middle:0{len(digits) - 2}d}"
@@ -111,6 +117,8 @@ def _iban(text, permute, back):
 def _phone(text, permute, back):
     digits = re.sub("[^0-9]", "", text)
     plus = text.startswith("+")
+    if not plus and tuple(map(len, re.findall("[0-9]+", text))) not in PHONE_GROUPS:
+        return None
     national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits if len(digits) == 10 and not plus else ""
     if national and national[0] >= "2" and national[3] >= "2":  # North American: area and exchange begin with 2 to 9
         area, exchange, line = int(national[:3]) - 200, int(national[3:6]) - 200, int(national[6:])
@@ -140,26 +148,44 @@ def _ipv4(text, permute, back):
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+#: Months, and days of a month, that go to each other only: the number of digits and the way a date is read can't change.
+_MONTHS, _DAYS = ((1, 9), (10, 12)), ((1, 9), (10, 12), (13, 31))
+
+
 def _date(text, permute, back):
+    """Dates of YEARS among themselves: months below 10 and from 10, days below 10, to 12 and from 13 each go to their like.
+
+    So a date has as many digits as its pseudonym, and whether its first number is the day or the month can be told from
+    one as from the other. All notations of a day go the same way.
+    """
     sign = re.search("[-/.]", text)[0]
     a, b, c = text.split(sign)
-    year_first = len(a) == 4
-    if year_first:
-        y, m, d, order = a, b, c, "ymd"
+    if len(a) == 4:
+        order = "ymd"
     elif int(b) > 12 or (sign == "/" and int(a) <= 12):
-        y, m, d, order = c, a, b, "mdy"
+        order = "mdy"
     else:
-        y, m, d, order = c, b, a, "dmy"
+        order = "dmy"
+    part = dict(zip(order, (a, b, c), strict=True))
+    y, m, d = (int(part[k]) for k in "ymd")
     try:
-        at = (date(int(y), int(m), int(d)) - _FIRST_DAY).days
+        date(y, m, d)
     except ValueError:
         return None
-    if not 0 <= at < _DAYS:
+    if not YEARS[0] <= y <= YEARS[1]:
         return None
-    new = _FIRST_DAY + timedelta(days=permute(at, _DAYS, b"date", back))
-    wide = len(m) == 2 and len(d) == 2
-    part = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if wide else str(new.month), "d": f"{new.day:02d}" if wide else str(new.day)}
-    return sign.join(part[k] for k in order)
+    (m0, m1), (d0, d1) = next(r for r in _MONTHS if r[0] <= m <= r[1]), next(r for r in _DAYS if r[0] <= d <= r[1])
+    months, days = m1 - m0 + 1, d1 - d0 + 1
+    x = ((y - YEARS[0]) * months + m - m0) * days + d - d0
+    while True:  # days that a month doesn't have are walked over
+        x = permute(x, (YEARS[1] - YEARS[0] + 1) * months * days, f"date{m0}/{d0}".encode(), back)
+        y, m, d = x // (months * days) + YEARS[0], x // days % months + m0, x % days + d0
+        try:
+            date(y, m, d)
+        except ValueError:
+            continue
+        new = {"y": y, "m": m, "d": d}
+        return sign.join(f"{new[k]:0{len(part[k])}d}" for k in order)
 
 
 def _email(text, permute, back):
@@ -176,32 +202,56 @@ def _token(text, permute, back):
 CHECKED = {"card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ipv4": _ipv4, "date": _date, "email": _email, "token": _token}
 
 
+_GROUP = re.compile("[A-Za-z0-9]+")
+
+
+def _shorter(text: str, kind: str, permute: Permutation, back: bool) -> tuple[str, str, int] | None:
+    """Of a run of groups that is nothing valid as a whole, the kind, pseudonym and end of the longest valid value at its start."""
+    groups = list(_GROUP.finditer(text))
+    sizes = tuple(len(g[0]) for g in groups)
+    for n in range(len(groups) - 1, 0, -1):
+        end = groups[n - 1].end()
+        kinds = ["card"] * (sizes[:n] in CARD_GROUPS or (n == 1 and 13 <= sizes[0] <= 19)) + ["phone"] * (sizes[:n] in PHONE_GROUPS)
+        for kind in ["iban"] if kind == "iban" else kinds:
+            if (new := CHECKED[kind](text[:end], permute, back)) is not None:
+                return kind, new, end
+    return None
+
+
 def pseudonymise(text: str, permute: Permutation, back: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with each validated value replaced, and how many of each kind there were."""
-    found: dict[str, int] = {}
+    """The text with each validated value replaced, and how many of each kind there were.
 
-    def swap(match: re.Match) -> str:
+    Where a run of numbers isn't valid as a whole, shorter values at its start are tried, and the search goes on after
+    its first number, so a valid value next to other numbers isn't passed over.
+    """
+    found: dict[str, int] = {}
+    out, done, at = [], 0, 0
+    while match := PATTERN.search(text, at):
         kind = next(k for k in KINDS if match[k] is not None)
+        start, end = match.span()
         new = CHECKED[kind](match[0], permute, back)
         if new is None and kind == "card":  # too long a run of digits may still be a phone number
             kind = "phone"
             new = _phone(match[0], permute, back)
+        if new is None and kind in ("phone", "iban") and (cut := _shorter(match[0], kind, permute, back)):
+            kind, new, end = cut[0], cut[1], start + cut[2]
         if new is None:
-            return match[0]
+            at = start + _GROUP.search(match[0]).end() if kind in ("phone", "date") else end
+            continue
+        out += [text[done:start], new]
+        done = at = end
         found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return PATTERN.sub(swap, text), found
+    return "".join([*out, text[done:]]), found
 
 
 def pseudonyms(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts with personal data replaced: doc_id, text, n_found, n_card, n_iban, n_phone, n_ssn, n_ipv4, n_date, n_email, n_token; a row for each input row, no shuffle.
 
     A value is replaced only if it is valid: card numbers by Luhn's sum, IBANs modulo 97, North American and
-    international phone numbers, US social security numbers, IPv4 addresses, dates of 1900 to 2099 by the calendar, mail
+    international phone numbers, US social security numbers, IPv4 addresses, dates of 1900 to 2099 by the calendar (also before the time of an ISO timestamp), mail
     addresses, and keys of 32 to 128 hexadecimal digits. Its pseudonym is its image under a permutation, drawn by the
     key, of all valid values of that kind; checks, separators, digit groups, letter case, a card's first digit, country
-    prefixes, an address's host and a date's notation stay. So equal values get equal pseudonyms in all documents,
+    prefixes, an address's host, a date's notation and the digits of its day and month (``_date``) stay. So equal values get equal pseudonyms in all documents,
     however they are grouped, different ones get different ones, and the owner of the key can undo it.
 
     Null text stays null and counts nothing; ids may be null or repeat. Other columns aren't read.

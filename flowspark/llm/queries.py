@@ -20,8 +20,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Key of the test tables' pseudonyms; a real corpus has a secret one.
-PII_KEY = b"flowspark test tables"
+#: Setting with the secret key of pseudonyms; without it the test tables get one that is no secret.
+PII_KEY_SETTING, TEST_KEY = "spark.flowspark.pii.key", "flowspark test tables"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text with its personal data under pseudonyms, and how much there was of each kind."""
-    return pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY_SETTING, TEST_KEY).encode())
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

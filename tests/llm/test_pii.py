@@ -67,3 +67,50 @@ def test_tables(table):
     assert all(other[k] != got[k].text for k in range(len(ODD), len(ODD) + len(VALUES)))
     assert pii.pseudonyms(table([]), b"key").count() == 0
     assert pii.pseudonyms(table([(None, "a"), (None, "a")]), b"key").count() == 2
+
+
+def test_all_days_in_all_notations():
+    """Different days get different pseudonyms, each comes back, and notations of a day stay linked."""
+    first = date(1900, 1, 1).toordinal()
+    days = [date.fromordinal(k) for k in range(first, date(2100, 1, 1).toordinal())]
+    notations = [
+        lambda d: f"{d.year}-{d.month:02d}-{d.day:02d}", lambda d: f"{d.month:02d}/{d.day:02d}/{d.year}", lambda d: f"{d.day:02d}.{d.month:02d}.{d.year}",
+        lambda d: f"{d.day}-{d.month}-{d.year}", lambda d: f"{d.month}/{d.day}/{d.year}", lambda d: f"{d.year}/{d.month}/{d.day}",
+    ]
+    there = [[pii._date(write(d), P, False) for d in days[:: 1 if k == 0 else 31]] for k, write in enumerate(notations)]
+    for k, (write, new) in enumerate(zip(notations, there, strict=True)):
+        own = days[:: 1 if k == 0 else 31]
+        assert len(set(new)) == len(own)
+        assert all(len(a) == len(write(d)) for a, d in zip(new, own, strict=True))
+        assert [pii._date(a, P, True) for a in new] == [write(d) for d in own]
+    image = {d: date.fromisoformat(a) for d, a in zip(days, there[0], strict=True)}
+    assert sorted(image.values()) == days
+    for write, new in zip(notations[1:], there[1:], strict=True):
+        assert new == [write(image[d]) for d in days[::31]]
+    ambiguous = ["28/01/1990", "22/03/1992", "11/05/1992", "11.05.1992", "05-11-1992", "13/12/2001"]
+    once = [pii.pseudonymise(t, P)[0] for t in ambiguous]
+    assert [pii.pseudonymise(t, P, back=True)[0] for t in once] == ambiguous
+    assert len(set(once)) == len(once)
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("4111 1111 1111 1111 123", "4111 1111 1111 1111"), ("4111 1111 1111 1111 12/25", "4111 1111 1111 1111"), ("call 212-555-0123 12", "212-555-0123"),
+     ("in 2024 212-555-0123", "212-555-0123"), ("12 34 56 2021-03-04T10:00:00Z", "2021-03-04"), ("1 22 333 378282246310005", "378282246310005"),
+     ("DE89 3704 0044 0532 0130 00 123", "DE89 3704 0044 0532 0130 00")],
+)
+def test_values_beside_other_numbers(text, value):
+    new, found = pii.pseudonymise(text, P)
+    assert sum(found.values()) == 1
+    assert new != text
+    before, after = text.split(value)
+    assert new.startswith(before)
+    assert new.endswith(after)
+    assert pii.pseudonymise(new, P, back=True)[0] == text
+
+
+def test_other_columns_are_not_read(table):
+    docs = table([(1, "mail a.b@c.example"), (1, "mail a.b@c.example")]).withColumnRenamed("lang", "n_found").withColumnRenamed("source", "n_card")
+    rows = pii.pseudonyms(docs, b"key").collect()
+    assert [r.n_email for r in rows] == [1, 1]
+    assert rows[0].text == rows[1].text != "mail a.b@c.example"
