@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,10 @@ FAN_IN = 4
 #: Rows of a shard as it arrives, and how many arrivals a whole table is dealt into.
 ARRIVAL_ROWS = 4096
 ARRIVALS = 8
-#: Merged shards that one version adds, and how many are written at a time.
-JOB_SHARDS = 64
-JOBS = 8
+#: Shards that one part of a manifest lists.
+PART_SHARDS = 8192
+#: Versions that stay readable.
+KEEP_VERSIONS = 2
 
 
 @dataclass(frozen=True)
@@ -35,12 +36,24 @@ class Shard:
     n_bytes: int
 
 
+@dataclass(frozen=True)
+class Part:
+    """An immutable file of the manifest that lists some shards."""
+
+    path: str
+    shards: tuple[Shard, ...]
+
+
 @dataclass(frozen=True)
 class Manifest:
-    """A version of the store: its shards, in order."""
+    """A version of the store: its shards, in parts that versions share."""
 
     version: int = 0
-    shards: tuple[Shard, ...] = field(default_factory=tuple)
+    parts: tuple[Part, ...] = ()
+
+    @property
+    def shards(self) -> tuple[Shard, ...]:
+        return tuple(s for p in self.parts for s in p.shards)
 
 
 class Conflict(RuntimeError):
@@ -51,8 +64,9 @@ class ShardStore:
     """Documents in immutable Parquet shards, listed by numbered manifests in a folder that all executors share.
 
     A version is committed by renaming a complete file to ``manifest/<version>.json``, which fails if that name exists,
-    so readers see all of a version or none, and of two writers one gets ``Conflict``. The driver holds a manifest, a
-    line for each shard, and never rows.
+    so readers see all of a version or none, and of two writers one gets ``Conflict``; the folder must be on a file
+    system with atomic renames, not a bare object store. A version names parts of the list, of which a commit writes
+    only those that change. The driver holds a line for each shard, and never rows.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -63,32 +77,49 @@ class ShardStore:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
+    def _load(self, name: str):
+        stream = self.fs.open(self._path(name))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _save(self, name: str, data) -> None:
+        out = self.fs.create(self._path(name), False)
+        out.write(bytearray(json.dumps(data).encode()))
+        out.close()
+
     def versions(self) -> list[int]:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path("manifest"))]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(("part", ".")))
 
     def manifest(self, version: int | None = None) -> Manifest:
         """A version, by default the newest; version 0 is empty."""
         version = version if version is not None else max(self.versions(), default=0)
         if not version:
             return Manifest()
-        stream = self.fs.open(self._path(f"manifest/{version:08d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        data = json.loads(text)
-        return Manifest(data["version"], tuple(Shard(**s) for s in data["shards"]))
-
-    def commit(self, before: Manifest, shards: list[Shard]) -> Manifest:
-        """The version after `before`, with the given shards, or Conflict."""
-        after = Manifest(before.version + 1, tuple(shards))
-        draft, final = self._path(f"manifest/.{uuid.uuid4().hex}"), self._path(f"manifest/{after.version:08d}.json")
-        out = self.fs.create(draft, False)
-        out.write(bytearray(json.dumps(asdict(after)).encode()))
-        out.close()
-        if self.fs.exists(final) or not self.fs.rename(draft, final):
-            self.fs.delete(draft, False)
+        data = self._load(f"manifest/{version:08d}.json")
+        return Manifest(data["version"], tuple(Part(p, tuple(Shard(**s) for s in self._load(p))) for p in data["parts"]))
+
+    def commit(self, before: Manifest, gone: set[Shard], new: list[Shard]) -> Manifest:
+        """The version after `before`, without the shards that go and with the new ones behind the others, or Conflict."""
+        parts, loose = [], []
+        for part in before.parts:
+            rest = [s for s in part.shards if s not in gone]
+            if len(rest) == len(part.shards) and 2 * len(rest) > PART_SHARDS:
+                parts.append(part)
+            else:
+                loose += rest
+        loose += new
+        for at in range(0, len(loose), PART_SHARDS):
+            own = tuple(loose[at : at + PART_SHARDS])
+            parts.append(Part(f"manifest/part-{uuid.uuid4().hex}.json", own))
+            self._save(parts[-1].path, [asdict(s) for s in own])
+        after = Manifest(before.version + 1, tuple(parts))
+        draft, final = f"manifest/.{uuid.uuid4().hex}", self._path(f"manifest/{after.version:08d}.json")
+        self._save(draft, {"version": after.version, "parts": [p.path for p in parts]})
+        if self.fs.exists(final) or not self.fs.rename(self._path(draft), final):
+            self.fs.delete(self._path(draft), False)
             raise Conflict(f"version {after.version} is taken")
         return after
 
@@ -121,9 +152,8 @@ class ShardStore:
     def add(self, new: list[Shard]) -> Manifest:
         """Commits written shards after those that are there."""
         while True:  # other writers' shards stay; only the list is made anew
-            now = self.manifest()
             try:
-                return self.commit(now, [*now.shards, *new])
+                return self.commit(self.manifest(), set(), new)
             except Conflict:
                 time.sleep(0.05)
 
@@ -134,109 +164,105 @@ class ShardStore:
             raise ValueError("an empty version has no schema")
         return self.spark.read.parquet(*(f"{self.folder}/{s.path}" for s in shards))
 
-    def compact(self, target_bytes: int = TARGET_BYTES, final: bool = False) -> Manifest:
-        """Merges runs of similarly sized shards, version by version, until `plan` finds none; returns the last version.
+    def compact(self, target_bytes: int = TARGET_BYTES) -> Manifest:
+        """Merges tiers of similarly sized shards, a round and a version at a time, until `plan` finds none; returns the last version.
 
-        Each merged shard is written by one task that reads its inputs, which together have at most target_bytes, one
-        after the other: no row is shuffled. Inputs are deleted by `vacuum`, not here, so older versions stay readable.
+        A round is one job. Each merged shard is written by one task that reads its inputs, which together have at most
+        target_bytes, one after the other: no row is shuffled. Inputs are deleted by `vacuum`, not here, so older
+        versions stay readable. Where the scan can't be made to read as many inputs in a task, no shard would go away;
+        then nothing is committed.
         """
-        while groups := plan(self.manifest().shards, target_bytes, final):
-            for at in range(0, len(groups), JOB_SHARDS):
-                before, own = self.manifest(), groups[at : at + JOB_SHARDS]
-                schema = self.read(before, own[0]).schema
-
-                def merged(group: list[Shard], schema=schema) -> list[Shard]:
-                    # a job for each: a union of single partitions is itself a single one
-                    return self.write(self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in group)).coalesce(1))
-
-                with ThreadPoolExecutor(JOBS) as pool:
-                    new = [s for shards in pool.map(merged, own) for s in shards]
-                self._replace([s for g in own for s in g], new)
+        while tiers := plan(self.manifest().shards, target_bytes):
+            new = self.write(self._packed(tiers, target_bytes))
+            if len(new) >= sum(map(len, tiers)):
+                self.fs.delete(self._path(new[0].path.rpartition("/")[0]), True)
+                break
+            self._replace({s for tier in tiers for s in tier}, new)
         return self.manifest()
 
-    def _replace(self, old: list[Shard], new: list[Shard]) -> None:
-        gone = set(old)
+    def _packed(self, tiers: list[list[Shard]], target_bytes: int) -> DataFrame:
+        """The rows of each tier, in partitions of whole shards of up to target_bytes together: the scan packs its files so."""
+        session = self.spark.newSession()  # settings of its own
+        for key, value in {
+            "spark.sql.files.maxPartitionBytes": target_bytes, "spark.sql.files.openCostInBytes": 1, "spark.sql.files.minPartitionNum": 1,
+            "spark.sql.files.maxPartitionNum": 1 << 30, "spark.sql.unionOutputPartitioning": "false",
+        }.items():
+            session.conf.set(key, str(value))
+        schema = self.read(self.manifest(), tiers[0][:1]).schema
+        return reduce(DataFrame.union, (session.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in tier)) for tier in tiers))
+
+    def _replace(self, gone: set[Shard], new: list[Shard]) -> None:
         while True:
             now = self.manifest()
             if not gone <= set(now.shards):
                 raise Conflict("another writer has merged the same shards")
             try:
-                self.commit(now, [*(s for s in now.shards if s not in gone), *new])
+                self.commit(now, gone, new)
                 return
             except Conflict:
                 time.sleep(0.05)
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Deletes files that none of the last versions lists, and older manifests; returns the number of files deleted.
+    def vacuum(self, keep_versions: int = KEEP_VERSIONS) -> int:
+        """Deletes files that none of the last versions lists, and older manifests; returns the number of shards deleted.
 
         Not to be run beside a writer, whose files no version lists yet.
         """
         versions = self.versions()
-        kept = versions[-keep_versions:]
-        wanted = {s.path for v in kept for s in self.manifest(v).shards}
+        kept = [self.manifest(v) for v in versions[-keep_versions:]]
+        wanted = {s.path for m in kept for s in m.shards}
         n = 0
         data = self._path("data")
         for folder in [s.getPath().getName() for s in self.fs.listStatus(data)] if self.fs.exists(data) else []:
-            files = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"data/{folder}"))]
-            stale = [f for f in files if f"data/{folder}/{f}" not in wanted]
-            if len(stale) == len(files) or not any(f.endswith(".parquet") and f not in stale for f in files):
-                n += sum(f.endswith(".parquet") for f in files)
+            files = [f"data/{folder}/{s.getPath().getName()}" for s in self.fs.listStatus(self._path(f"data/{folder}"))]
+            stale = [f for f in files if f not in wanted and f.endswith(".parquet")]
+            n += len(stale)
+            if not any(f in wanted for f in files):
                 self.fs.delete(self._path(f"data/{folder}"), True)
             else:
                 for f in stale:
-                    if f.endswith(".parquet"):
-                        n += bool(self.fs.delete(self._path(f"data/{folder}/{f}"), False))
+                    self.fs.delete(self._path(f), False)
         for v in versions[:-keep_versions]:
             self.fs.delete(self._path(f"manifest/{v:08d}.json"), False)
+        parts = {p.path for m in kept for p in m.parts}
+        for name in [s.getPath().getName() for s in self.fs.listStatus(self._path("manifest"))]:
+            if name.startswith("part-") and f"manifest/{name}" not in parts:
+                self.fs.delete(self._path(f"manifest/{name}"), False)
         return n
 
 
-def plan(shards: tuple[Shard, ...], target_bytes: int, final: bool = False) -> list[list[Shard]]:
-    """Groups of shards to merge, each of at most target_bytes together and of two shards or more.
+def plan(shards: tuple[Shard, ...], target_bytes: int) -> list[list[Shard]]:
+    """Tiers to merge: of shards below half the target, those whose sizes differ by at most TIER_FACTOR, if there are FAN_IN or more.
 
-    Shards below half the target are sorted by size and cut into tiers: within a tier, sizes differ by at most
-    TIER_FACTOR. A tier with FAN_IN shards or more is packed, in order of size, into groups up to the target. With final,
-    all shards below half the target are packed regardless of tiers, for a store that gets no more arrivals.
+    The smallest shard that no tier has yet begins the next one. Shards of half the target and more are done.
     """
-    small = sorted((s for s in shards if 2 * s.n_bytes < target_bytes), key=lambda s: (s.n_bytes, s.path))
     tiers: list[list[Shard]] = []
-    for s in small:
-        if tiers and (final or s.n_bytes <= TIER_FACTOR * max(1, tiers[-1][0].n_bytes)):
+    for s in sorted((s for s in shards if 2 * s.n_bytes < target_bytes), key=lambda s: (s.n_bytes, s.path)):
+        if tiers and s.n_bytes <= TIER_FACTOR * max(1, tiers[-1][0].n_bytes):
             tiers[-1].append(s)
         else:
             tiers.append([s])
-    groups: list[list[Shard]] = []
-    for tier in tiers:
-        if len(tier) < (2 if final else FAN_IN):
-            continue
-        group, size = [], 0
-        for s in tier:
-            if group and size + s.n_bytes > target_bytes:
-                groups.append(group)
-                group, size = [], 0
-            group.append(s)
-            size += s.n_bytes
-        groups.append(group)
-    return [g for g in groups if len(g) > 1]
+    return [tier for tier in tiers if len(tier) >= FAN_IN]
 
 
 def sharded(docs: DataFrame, folder: str, *, target_bytes: int = TARGET_BYTES, rows_per_shard: int = ARRIVAL_ROWS, arrivals: int = ARRIVALS) -> tuple[ShardStore, Manifest]:
-    """Adds docs to the store in folder by small arrivals, compacts its tiers after each, packs the tail, and drops what the last version doesn't need.
+    """Adds docs to the store in folder by small arrivals, compacts its tiers after each, and drops what the last KEEP_VERSIONS versions don't need.
 
     One job writes shards of up to rows_per_shard rows, none above target_bytes unless it is a single row; they are
-    committed arrival by arrival. Rows are kept as they are, whatever their columns hold: nulls, texts of any length,
-    repeated rows. An empty table makes a version whose shards hold its schema and no rows. Column names must differ by
-    more than case, as Parquet asks.
+    committed arrival by arrival. What stays below half the target are fewer than FAN_IN shards of each tier, until more
+    arrive. Rows are kept as they are, whatever their columns hold: nulls, texts of any length, repeated rows. An empty
+    table makes a version whose shards hold its schema and no rows. Column names must differ by more than case, as
+    Parquet asks; others are refused.
     """
+    if len({c.lower() for c in docs.columns}) < len(docs.columns):
+        raise ValueError("shards can't keep columns whose names differ in case only")
     store = ShardStore(docs.sparkSession, folder)
     new = store.write(docs, rows_per_shard, target_bytes)
     each = max(1, -(-len(new) // arrivals))
     for at in range(0, len(new), each):
         store.add(new[at : at + each])
         store.compact(target_bytes)
-    manifest = store.compact(target_bytes, final=True)
     store.vacuum()
-    return store, manifest
+    return store, store.manifest()
 
 
 def placements(store: ShardStore, manifest: Manifest, id_col: str = "doc_id") -> DataFrame:
