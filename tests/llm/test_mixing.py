@@ -1,5 +1,6 @@
 import re
 from collections import defaultdict
+from hashlib import md5
 
 import pytest
 from conftest_llm import ODD
@@ -65,3 +66,21 @@ def test_odd_rows(table, spark):
     assert got.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert counts == {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+
+
+def test_only_the_slices_at_the_fraction_are_ranked(spark):
+    """A hot source is taken by slices, not sorted as a whole, and the mix comes to the same documents as one plain order would."""
+    rows = [(k, "w " * (k % 11), "hot" if k % 3 else "rare") for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs, weights=(1.0,), share=1.3).collect()}
+    for source in ("hot", "rare"):
+        own = sorted((k for k, _, s in rows if s == source), key=lambda k: md5(f"0:{k}".encode()).hexdigest())
+        target, total, ahead = got[own[0]].target, got[own[0]].source_size, 0
+        for k in own:
+            size = len(rows[k][1].split())
+            assert got[k].copies == target // total + (ahead + size / 2 < target % total), k
+            ahead += size
+    goals = mixing._goals(mixing._sizes(docs, 0, "doc_id", "source", "text"), (1.0,), 1.3, 2.0).collect()
+    assert all(r["first"] == r["last"] for r in goals)
+    plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
