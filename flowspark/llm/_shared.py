@@ -29,6 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowspark-{name}-{uuid.uuid4().hex}"
 
 
+def long_ids(docs, id_col: str):
+    """The id column as long doc_id, for operators whose files or places hold whole numbers; other kinds are refused."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"this operator needs whole-number ids, and {id_col!r} is {kind}; number the documents first")
+    return docs[id_col].cast("long").alias("doc_id")
+
+
 def written(df, name: str):
     """df, written as Parquet to the shared folder and read again: a cut in the lineage that lost executors can't lose."""
     path = scratch(df.sparkSession, name)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import scratch, written
+from ._shared import long_ids, scratch, written
 from ._text import MEMO_PIECES, kept_in_worker
 from .token_count import piece_encoder
 
@@ -190,7 +190,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
 
     Null text counts as empty; null ids come first; rows that repeat an id follow each other in the order of their text.
     """
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+    slim = docs.select(long_ids(docs, id_col), docs[text_col].cast("binary").alias("text"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

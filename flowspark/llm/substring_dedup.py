@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, written
+from ._shared import discard, long_ids, written
 from ._text import WordHashes, mix, ngram_hashes, sliding_min, split_words
 
 # A run's place is one long: first window, number of windows (6 bits), and 24 bits of the text's hash, which tell texts
@@ -220,7 +220,7 @@ def deduplicated(docs: DataFrame, *, window: int = 20, gram: int = 5, id_col: st
     text are one document; texts that share an id count as ordered by place. Words must number below 2**33 in a text.
     Other columns aren't read.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+    docs = docs.select(long_ids(docs, id_col), docs[text_col].cast("binary").alias("text"))
     runs, single = compared(docs, window, gram, both=False)
     gone = runs.filter("kind = 0").select("doc_id", "place").union(resolved(single))
 

@@ -106,3 +106,22 @@ def test_null_and_repeated_ids(table):
     assert sorted(tuple(r) for r in suffix_dedup.repeats(docs).collect()) == [(1, 0, 70), (1, 3, 70), (2, 0, 70)]
     assert substring_dedup.deduplicated(docs.limit(0)).count() == 0
     assert suffix_dedup.repeats(docs.limit(0)).count() == 0
+
+
+def test_string_ids_are_refused_and_other_columns_not_read(table):
+    docs = table([(1, "a b c " * 30), (2, "a b c " * 30)]).withColumnRenamed("lang", "place").withColumnRenamed("source", "mark")
+    assert suffix_dedup.repeats(docs).count() == 2
+    assert substring_dedup.deduplicated(docs).count() == 2
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    for op in (suffix_dedup.repeats, substring_dedup.deduplicated):
+        with pytest.raises(TypeError, match="whole-number"):
+            op(named)
+
+
+def test_runs_that_only_distant_suffixes_share(table):
+    """One common phrase with many texts on either side, of which some share both sides, but have neighbours that don't."""
+    draw = random.Random(9)
+    phrase, lefts, rights = prose(draw, 9, 300), [prose(draw, 24, 300) for _ in range(6)], [prose(draw, 24, 300) for _ in range(6)]
+    docs = [(k, f"{prose(draw, 5, 300)} {draw.choice(lefts)} {phrase} {draw.choice(rights)} {prose(draw, 5, 300)}") for k in range(40)]
+    got = suffix_dedup.repeats(table(docs), least=40, gram=8)
+    assert sorted(tuple(r) for r in got.collect()) == plain_passages(docs, 40)
