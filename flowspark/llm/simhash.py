@@ -228,15 +228,18 @@ def without(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col
 
     Rows that share an id are judged together: they stay if one of them is its group's smallest, and of those that share
     the text too one stays. Documents with a null id stay, as no group can name them.
+
+    The ids that go are anti-joined: while they fit a broadcast by the engine's own measure the texts stay where they
+    are; beyond that each text moves once. Only rows whose id repeats are looked at for equal texts.
     """
-    groups = written(groups, "groups").filter("doc_id IS NOT NULL")
+    groups = groups.filter("doc_id IS NOT NULL")
     ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-    ids = written(ids.filter("n > 1 OR NOT stays"), "ids")  # few next to those that stay, so that the texts need not move as long as these fit a broadcast
+    ids = written(ids.filter("n > 1 OR NOT stays"), "ids")
     names = [f"d{k}" for k in range(len(docs.columns))]
     own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    gone = ids.filter("NOT stays").select(F.col("doc_id").alias(own))
-    out = docs.toDF(*names).join(gone, own, "left_anti")
-    if not ids.filter("stays").isEmpty():
-        known = out.filter(F.col(own).isNotNull()).dropDuplicates([own, text])
-        out = known.unionByName(out.filter(F.col(own).isNull()))
+    rows, listed = docs.toDF(*names), ids.select(F.col("doc_id").alias(own))
+    out = rows.join(listed, own, "left_anti")
+    again = ids.filter("stays").select(F.col("doc_id").alias(own))
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(again, own, "left_semi").dropDuplicates([own, text]))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
