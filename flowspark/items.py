@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .stream import ARRIVAL, KEY, ORDER, SUB, SUB_BITS, VALUE, Stream
+from .stream import ARRIVAL, KEY, ORDER, SUB, VALUE, Stream, sub_place
 
 #: Rows that Python hands back to Spark at once.
 BATCH_ROWS = 2048
@@ -70,7 +70,7 @@ def map_items(up: Stream, step_id: str, fn: Callable[[Iterator[tuple[dict, Any]]
         held: list[dict] = []
         for source_row, place, new in fn(rows()):
             if has_order:
-                new = {**new, ARRIVAL: source_row[ARRIVAL], SUB: (source_row[SUB] << SUB_BITS) | place if place >= 0 else source_row[SUB]}
+                new = {**new, ARRIVAL: source_row[ARRIVAL], SUB: sub_place(source_row[SUB], place) if place >= 0 else source_row[SUB]}
             held.append(new)
             if len(held) >= BATCH_ROWS:
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in held], schema=arrow)

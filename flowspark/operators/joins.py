@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import functions
 from ..functions import before_slice, sliced
@@ -80,26 +82,34 @@ def joined_rows(rows: DataFrame, n: int, names: list[str], insert_mode: str, emi
         for b in boxes:
             seen = seen.withColumn(b, F.explode_outer(b))
         return seen.select(*group, *out, *order)
-    # complete: rows up to the one that completes a set make a round; a fold along the key's rows finds the rounds
-    bits = F.lit((1 << n) - 1)
-    tagged = rows.withColumn("mark", F.element_at(F.array(*(F.lit(1 << k) for k in range(n))), F.col("side") + 1))
-    folded = tagged.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, "side", "mark"))).alias("xs"))
-    start = F.struct(F.lit(0).alias("round"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("ids"))
-
-    def step(acc, x):
-        seen = acc["seen"].bitwiseOR(x["mark"])
-        done = seen == bits
-        return F.struct((acc["round"] + done.cast("int")).alias("round"), F.when(done, 0).otherwise(seen).alias("seen"), F.array_append(acc["ids"], acc["round"]).alias("ids"))
-
-    rounds = folded.select(*group, "xs", F.aggregate("xs", start, step, lambda acc: acc["ids"]).alias("ids"))
-    flat = rounds.select(*group, F.explode(F.arrays_zip("xs", "ids")).alias("e")).select(*group, *(F.col("e")["xs"][c].alias(c) for c in (*order, "side")), F.col("e")["ids"].alias("round"))
-    rejoined = rows.join(flat, [*group, *order, "side"])
+    # complete: rows up to the one that completes a set make a round
+    keys = rows.select(*group, *order, "side").repartition(*group).sortWithinPartitions(*group, *order, "side")
+    rejoined = rows.join(_rounds(keys, n, group), [*group, *order, "side"])
     sets = joined_rows(rejoined, n, names_of(n), insert_mode, "final", (*group, "round"), order)
     full = rejoined.groupBy(*group, "round").agg(F.count_distinct("side").alias("n_sides")).filter(F.col("n_sides") == n).drop("n_sides")
     done = sets.join(full, [*group, "round"])
     return done.select(*group, *(F.col(a).alias(b) for a, b in zip(names_of(n), names, strict=True)), *order)
 
 
+def _rounds(keys: DataFrame, n: int, group: tuple[str, ...]) -> DataFrame:
+    """Sorted rows (group, order, side) with the number of their round; a task streams through them and holds a batch."""
+
+    def run(batches):
+        everything, last, seen, number = (1 << n) - 1, None, 0, 0
+        for batch in batches:
+            rounds = []
+            for *own, side in zip(*(batch.column(c).to_pylist() for c in (*group, "side")), strict=True):
+                if own != last:
+                    last, seen, number = own, 0, 0
+                rounds.append(number)
+                seen |= 1 << side
+                if seen == everything:
+                    seen, number = 0, number + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rounds, pa.int64())], [*batch.schema.names, "round"])
+
+    return keys.mapInArrow(run, StructType([*keys.schema.fields, StructField("round", LongType())]))
+
+
 def names_of(n: int) -> list[str]:
     return [f"v{k}" for k in range(n)]
 

@@ -17,7 +17,7 @@ from ..functions import before_slice, sliced
 from ..items import BATCH_ROWS, by_key, reader, schema_of, writer
 from ..streaming.logic import CollectLogic, FlatMapLogic, Itemwise, StatefulBatchLogic, StatefulLogic, drive
 from ..streaming.processor import stateful_stream, utc_now
-from ..stream import ARRIVAL, KEY, ORDER, SUB, SUB_BITS, VALUE, Stream, operator
+from ..stream import ARRIVAL, KEY, ORDER, SUB, VALUE, Stream, operator, sub_place
 
 
 def _schema(up: Stream, schema, step_id: str) -> StructType:
@@ -42,7 +42,7 @@ def key_pass(up: Stream, out: StructType, run_key: Callable, more: tuple[str, ..
                 if has_order:
                     place = place + 1 if at == (source[ARRIVAL], source[SUB]) else 0
                     at = (source[ARRIVAL], source[SUB])
-                    new = {**new, ARRIVAL: at[0], SUB: (at[1] << SUB_BITS) | place}
+                    new = {**new, ARRIVAL: at[0], SUB: sub_place(at[1], place)}
                 held.append(new)
                 if len(held) >= BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in held], schema=arrow)

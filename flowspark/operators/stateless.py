@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType
 
 from ..items import map_items, reader, schema_of, writer
-from ..stream import ARRIVAL, KEY, ORDER, SUB, SUB_BITS, VALUE, Flow, Stream, arrive, operator
+from ..stream import ARRIVAL, KEY, ORDER, SUB, VALUE, Flow, Stream, arrive, operator, sub_column
 
 Mapper = Column | dict | list | Callable
 
@@ -103,7 +103,7 @@ def _exploded(up: Stream, array: Column, keep: list[str], field: str = VALUE) ->
     order = _order(up)
     made = up.df.select(*keep, *order, F.posexplode(array).alias("_place", field))
     if order:
-        made = made.withColumn(SUB, F.shiftleft(F.col(SUB), SUB_BITS).bitwiseOR(F.col("_place").cast("long")))
+        made = made.withColumn(SUB, sub_column(F.col(SUB), F.col("_place").cast("long")))
     kind = made.schema[field].dataType
     fields = [f"{field}.{n}" for n in kind.names] if hasattr(kind, "names") else [field]
     return made.select(*keep, *fields, *order)

@@ -55,19 +55,24 @@ class EventClock(Clock):
     """A row happens at ts, a timestamp column. Each key's time has come to its latest row less the wait; rows before that are late.
 
     With per_key false, a streaming query goes by one time for all keys, Spark's watermark. Then tumbling and sliding
-    windows with an aggregate Column run in the engine, with partial sums and no Python; late rows are dropped, not given.
+    windows with an aggregate Column run in the engine, with partial sums and no Python; the engine drops late rows, so
+    there is no stream `late` (it is None), and a query's progress counts them (numRowsDroppedByWatermark).
+
+    to_system_utc(time) says when, by the system's clock, a time of the rows comes, for a streaming query to wake up then;
+    without it, times are taken to pass as fast as the system's.
     """
 
     ts_column: Column | str
     wait: timedelta = timedelta(0)
     now: Callable[[], datetime] = utc_now
     per_key: bool = True
+    to_system_utc: Callable[[datetime], datetime | None] | None = None
 
     def ts(self) -> Column:
         return F.col(self.ts_column) if isinstance(self.ts_column, str) else self.ts_column
 
     def logic(self):
-        return EventClockLogic(self.wait, self.now)
+        return EventClockLogic(self.wait, self.now, self.to_system_utc)
 
     def mark(self, timed, up):
         if self.wait == FOREVER or not up.ordered:
@@ -180,7 +185,7 @@ class WindowOut:
     """down: results (key, window_id, ...); late: rows that came too late, for each window they missed; meta: (key, window_id, open_time, close_time, merged_ids)."""
 
     down: Stream
-    late: Stream
+    late: Stream | None
     meta: Stream
 
 
@@ -283,8 +288,7 @@ def _shared(step_id: str, up: Stream, clock: Clock, windower: Windower, columns:
     wid = whole_div(F.unix_micros("w.start") - F.lit(align), offset).alias(WID)
     down = made.select(KEY, wid, *columns)
     meta = made.select(KEY, wid, F.col("w.start").alias(OPEN), F.col("w.end").alias(CLOSE), F.array().cast("array<bigint>").alias("merged_ids"))
-    late = up.df.select(KEY, F.lit(None).cast("long").alias(WID), *up.value_columns).filter(F.lit(False))
-    return WindowOut(up.with_df(down), up.with_df(late), up.with_df(meta))
+    return WindowOut(up.with_df(down), None, up.with_df(meta))
 
 
 @operator
@@ -387,6 +391,12 @@ def min_window(step_id: str, up: Stream, clock: Clock, windower: Windower, by: C
     return _extreme(step_id, up, clock, windower, by, False)
 
 
+def _pair(step_id: str, up: Stream) -> list[str]:
+    if len(up.value_columns) != 2:
+        raise TypeError(f"step {step_id!r} needs two value columns, a key and a value, to collect a dict")
+    return up.value_columns
+
+
 @operator
 def collect_window(step_id: str, up: Stream, clock: Clock, windower: Windower, into: type = list, ordered: bool = True) -> WindowOut:
     """Each window's values in a list, by time or by arrival, in a set (an array of different values), or in a dict (a map, from a stream with two value columns; the last value of a key stays)."""
@@ -395,7 +405,9 @@ def collect_window(step_id: str, up: Stream, clock: Clock, windower: Windower, i
     if up.df.isStreaming:
         kind = up.df.select(_value(up).alias(VALUE)).schema[VALUE].dataType
         if into is dict:
-            raise TypeError("a streaming query collects into lists and sets")
+            k, v = _pair(step_id, up)
+            types = ", ".join(up.df.schema[c].dataType.simpleString() for c in (k, v))
+            return fold_window("fold_window", up, clock, windower, dict, lambda d, x: {**d, x[k]: x[v]}, lambda a, b: {**a, **b}, f"map<{types}>", ordered)
         add = (lambda xs, x: xs + [x]) if into is list else (lambda xs, x: xs if x in xs else xs + [x])
         return fold_window("fold_window", up, clock, windower, list, add, lambda a, b: a + b, f"array<{kind.simpleString()}>", ordered)
     a = assign(up, clock, windower, step_id)
@@ -405,9 +417,7 @@ def collect_window(step_id: str, up: Stream, clock: Clock, windower: Windower, i
         out = F.array_distinct(F.array_sort(F.collect_set(_value(up))))
         return _out(a, a.rows.groupBy(KEY, WID).agg(out.alias(VALUE)))
     if into is dict:
-        if len(up.value_columns) != 2:
-            raise TypeError(f"step {step_id!r} needs two value columns, a key and a value, to collect a dict")
-        k, v = up.value_columns
+        k, v = _pair(step_id, up)
         kept = a.rows.groupBy(KEY, WID, k).agg(F.max_by(v, place).alias(v))
         return _out(a, kept.groupBy(KEY, WID).agg(F.map_from_entries(F.collect_list(F.struct(k, v))).alias(VALUE)))
     lists = a.rows.groupBy(KEY, WID).agg(F.sort_array(F.collect_list(F.struct(place.alias("o"), _value(up).alias("v")))).alias("xs"))
@@ -428,7 +438,7 @@ def join_window(step_id: str, clock: Clock, windower: Windower, *sides: Stream,
     n = len(sides)
     rows = _labelled(timed, values)
     up = Stream(sides[0].flow, sides[0].stream_id, rows)
-    inner = EventClock("_side_ts", clock.wait, clock.now) if isinstance(clock, EventClock) else clock
+    inner = EventClock("_side_ts", clock.wait, clock.now, to_system_utc=clock.to_system_utc) if isinstance(clock, EventClock) else clock
     boxes = [f"b{k}" for k in range(n)]
     if rows.isStreaming:
         kinds = {name: rows.schema[b].dataType["v"].dataType.simpleString() for b, name in zip(boxes, names, strict=True)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -9,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
-from .sources import ParquetSource
+from .operators import kafka
+from .operators.helpers import map_dict_value
+from .runtime import run_main
+from .sinks import DirSink, FileSink, FixedPartitionedSink, ParquetSink, StatefulSinkPartition
+from .sources import CSVSource, DirSource, FileSource, ParquetSource, RandomMetricSource, TableSource, TestingSource
 from .stream import ORDER, Flow, Stream
 
 ALIGN = datetime(2024, 1, 1)
@@ -128,10 +135,20 @@ def redistribute_noop(flow, table):
     return op.redistribute("spread", op.map("ids", table("part"), F.col("p_partkey")))
 
 
-@query("SELECT event_id AS value FROM events WHERE event_id < 500")
+@query("SELECT event_id AS value FROM events")
 def inspect_passthrough(flow, table):
-    some = op.filter("some", table("events"), F.col("event_id") < 500)
-    return op.inspect("look", op.map("ids", some, F.col("event_id")), lambda step_id, item: None)
+    return op.inspect("look", op.map("ids", table("events"), F.col("event_id")), lambda step_id, item: None)
+
+
+@query("SELECT event_id AS value FROM events")
+def inspect_debug_passthrough(flow, table):
+    return op.inspect_debug("look", op.map("ids", table("events"), F.col("event_id")), lambda step_id, item, epoch, worker: None)
+
+
+@query("SELECT event_id, upper(event_type) AS event_type FROM events")
+def map_dict_value_upper(flow, table):
+    up = op.map("slim", table("events"), {"event_id": F.col("event_id"), "event_type": F.col("event_type")})
+    return op.map("upper", up, map_dict_value("event_type", str.upper), "event_id bigint, event_type string")
 
 
 @query("SELECT p_partkey AS value FROM part WHERE p_size > 25")
@@ -187,11 +204,11 @@ def reduce_final_python(flow, table):
     return op.reduce_final("sum", up, lambda a, b: a + b)
 
 
-@query("SELECT event_type AS key, string_agg(user_id::VARCHAR, ',' ORDER BY event_id) AS value FROM events WHERE event_id < 2000 GROUP BY 1")
+@query("""SELECT event_type AS key, max(event_id) AS last, coalesce(max(event_id - before), 0)::BIGINT AS gap FROM (
+  SELECT *, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) GROUP BY 1""")
 def fold_final_python(flow, table):
-    some = op.filter("some", table("events", "event_id"), F.col("event_id") < 2000)
-    up = op.map_value("u", op.key_on("key", some, F.col("event_type")), F.col("user_id"))
-    return op.fold_final("fold", up, str, lambda acc, u: f"{acc},{u}" if acc else str(u), "string")
+    up = op.map_value("e", op.key_on("key", table("events", "event_id"), F.col("event_type")), F.col("event_id"))
+    return op.fold_final("fold", up, lambda: (None, 0), lambda acc, e: (e, max(acc[1], e - acc[0] if acc[0] is not None else 0)), "last bigint, gap bigint")
 
 
 @query("""SELECT key, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS value FROM (
@@ -230,6 +247,47 @@ def stateful_new_max(flow, table):
     return op.stateful_flat_map("max", up, record, "event_id bigint, value double")
 
 
+@query("SELECT user_id::VARCHAR AS key, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY 1")
+def stateful_batch_totals(flow, table):
+    from .streaming.logic import StatefulBatchLogic
+
+    class Totals(StatefulBatchLogic):
+        def __init__(self, state):
+            self.n, self.total = state or (0, 0)
+
+        def on_batch(self, values):
+            self.n, self.total = self.n + len(values), self.total + sum(values)
+            return (), self.RETAIN
+
+        def on_eof(self):
+            return [(self.n, self.total)], self.DISCARD
+
+        def snapshot(self):
+            return self.n, self.total
+
+    up = op.map_value("e", op.key_on("key", table("events", "event_id"), F.col("user_id").cast("string")), F.col("event_id"))
+    return op.stateful_batch("totals", up, Totals, "n bigint, total bigint")
+
+
+@query("""SELECT key, event_id FROM (SELECT user_id::VARCHAR AS key, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k % 3 = 0""")
+def stateful_every_third(flow, table):
+    from .streaming.logic import StatefulLogic
+
+    class Third(StatefulLogic):
+        def __init__(self, state):
+            self.n = state or 0
+
+        def on_item(self, value):
+            self.n += 1
+            return ([(value,)], self.DISCARD) if self.n == 3 else ((), self.RETAIN)
+
+        def snapshot(self):
+            return self.n
+
+    up = op.map_value("e", op.key_on("key", table("events", "event_id"), F.col("user_id").cast("string")), F.col("event_id"))
+    return op.stateful("third", up, Third, "event_id bigint")
+
+
 # -- joins
 
 
@@ -277,12 +335,14 @@ def join_first_running(flow, table):
     return op.join("join", *_two_sides(table), insert_mode="first", emit_mode="running", names=["l", "r"])
 
 
-@query("""WITH s AS (SELECT user_id::VARCHAR AS key, event_id, event_id % 2 AS side FROM events WHERE event_id < 300)
+@query("""WITH s AS (SELECT user_id || event_type AS key, event_id, event_id % 2 AS side FROM events)
 SELECT t.key, a.event_id AS l, b.event_id AS r FROM s t LEFT JOIN s a ON a.key = t.key AND a.side = 0 AND a.event_id <= t.event_id
 LEFT JOIN s b ON b.key = t.key AND b.side = 1 AND b.event_id <= t.event_id""")
 def join_product_running(flow, table):
-    left, right = (op.filter_value(f"few_{n}", s, F.col("value") < 300) for n, s in zip("lr", _two_sides(table), strict=True))
-    return op.join("join", left, right, insert_mode="product", emit_mode="running", names=["l", "r"])
+    up = table("events", "event_id")
+    key = F.concat(F.col("user_id").cast("string"), F.col("event_type"))
+    sides = [op.map_value(f"v_{n}", op.key_on(f"k_{n}", op.filter(f"f_{n}", up, F.col("event_id") % 2 == k), key), F.col("event_id")) for k, n in enumerate("lr")]
+    return op.join("join", *sides, insert_mode="product", emit_mode="running", names=["l", "r"])
 
 
 _ROUNDS = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, event_id % 2 AS side, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
@@ -307,6 +367,17 @@ def join_first_complete(flow, table):
     return op.join("join", *_two_sides(table), insert_mode="first", names=["l", "r"])
 
 
+_PRODUCT_ROUNDS = """, numbered AS (SELECT *, coalesce(sum(done::INT) OVER (PARTITION BY {group} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS round FROM walk),
+whole AS (SELECT {group}, round FROM numbered WHERE done)
+SELECT {select}, a.event_id AS l, b.event_id AS r FROM whole w
+JOIN numbered a ON {on_a} AND a.round = w.round AND a.event_id % 2 = 0 JOIN numbered b ON {on_b} AND b.round = w.round AND b.event_id % 2 = 1"""
+
+
+@query(_ROUNDS.format(keep_l="e.event_id", keep_r="e.event_id").replace("SELECT key, l, r FROM walk WHERE done", "").rstrip() + _PRODUCT_ROUNDS.format(group="key", select="w.key", on_a="a.key = w.key", on_b="b.key = w.key"))
+def join_product_complete(flow, table):
+    return op.join("join", *_two_sides(table), insert_mode="product", names=["l", "r"])
+
+
 # -- windows
 
 _D = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))"
@@ -347,12 +418,22 @@ def tumbling_reduce(flow, table):
     return op.reduce_window("sum", keyed_events(table), _clock(), op.TumblingWindower(DAY, ALIGN), F.sum("event_id")).down
 
 
-@query(f"SELECT event_type AS key, {_DAY_ID} AS window_id, count(DISTINCT user_id) AS value FROM events GROUP BY 1, 2")
+@query(f"""SELECT event_type AS key, {_DAY_ID} AS window_id, count(*) AS n, sum(user_id)::BIGINT AS users, sum(epoch_us(hour) // 1000000)::BIGINT AS hours
+FROM (SELECT DISTINCT event_type, user_id, date_trunc('hour', ts) AS hour, date_trunc('hour', ts) AS ts FROM events) GROUP BY 1, 2""")
 def tumbling_collect_set(flow, table):
-    up = op.map_value("u", op.key_on("key", table("events", "event_id"), F.col("event_type")), {"value": F.col("user_id"), "ts": F.col("ts")})
-    users = op.map_value("pair", up, {"ts": F.col("ts"), "value": F.col("value")})
-    folded = op.fold_window("users", users, _clock(), op.TumblingWindower(DAY, ALIGN), agg=F.size(F.collect_set("value")).cast("bigint"))
-    return folded.down
+    up = op.map_value("u", op.key_on("key", table("events", "event_id"), F.col("event_type")), {"user_id": F.col("user_id").cast("bigint"), "ts": F.date_trunc("hour", "ts")})
+    sets = op.collect_window("set", up, _clock(), op.TumblingWindower(DAY, ALIGN), into=set).down
+    total = lambda f: F.aggregate("value", F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
+    return op.map("sums", sets, {"key": F.col("key"), "window_id": F.col("window_id"), "n": F.size("value").cast("bigint"), "users": total(lambda x: x["user_id"]), "hours": total(lambda x: F.unix_seconds(x["ts"].cast("timestamp")))})
+
+
+@query(f"""SELECT key, window_id, count(*) AS n, sum(epoch_us(last))::BIGINT AS total FROM (
+  SELECT event_type AS key, {_DAY_ID} AS window_id, user_id, max(ts) AS last FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def tumbling_collect_dict(flow, table):
+    up = op.map_value("u", op.key_on("key", table("events", "event_id"), F.col("event_type")), {"user_id": F.col("user_id"), "ts": F.col("ts")})
+    maps = op.collect_window("dict", up, _clock(), op.TumblingWindower(DAY, ALIGN), into=dict).down
+    total = F.aggregate(F.map_values("value"), F.lit(0).cast("bigint"), lambda acc, x: acc + F.unix_micros(x.cast("timestamp")))
+    return op.map("sums", maps, {"key": F.col("key"), "window_id": F.col("window_id"), "n": F.size("value").cast("bigint"), "total": total})
 
 
 _SLIDES = f"""SELECT event_type AS key, event_id, value, unnest(generate_series(floor(({_D} - {_US_DAY}) / {6 * _US_HOUR}.0)::BIGINT + 1, floor({_D} / {6 * _US_HOUR}.0)::BIGINT)) AS window_id FROM events"""
@@ -413,7 +494,7 @@ def tumbling_on_time(flow, table):
     return op.fold_window("count", _disordered(table), _clock(6 * HOUR), op.TumblingWindower(DAY, ALIGN), agg=F.count("*")).down
 
 
-@query(f"SELECT event_type AS key, {_DAY_ID} AS window_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS value FROM events WHERE event_id < 1000 GROUP BY 1, 2")
+@query(f"SELECT event_type AS key, {_DAY_ID} AS window_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS value FROM events GROUP BY 1, 2")
 def window_python(flow, table):
     from .streaming.logic import WindowLogic
 
@@ -435,8 +516,13 @@ def window_python(flow, table):
         def snapshot(self):
             return self.ids
 
-    up = op.filter_value("few", keyed_events(table), F.col("event_id") < 1000)
-    return op.window("ids", up, _clock(), op.TumblingWindower(DAY, ALIGN), Joined, "string").down
+    return op.window("ids", keyed_events(table), _clock(), op.TumblingWindower(DAY, ALIGN), Joined, "string").down
+
+
+@query(f"SELECT event_type AS key, -1 AS window_id, event_id FROM ({_LATE}) WHERE late")
+def session_late(flow, table):
+    late = op.fold_window("count", _disordered(table), _clock(6 * HOUR), op.SessionWindower(HOUR), agg=F.count("*")).late
+    return op.map("fields", late, [F.col("key"), F.col("window_id"), F.col("event_id")])
 
 
 def _window_sides(table):
@@ -472,4 +558,154 @@ def join_window_last_running(flow, table):
     return _ids(op.join_window("join", _clock(), op.TumblingWindower(DAY, ALIGN), *_window_sides(table), emit_mode="running", names=["l", "r"]).down)
 
 
+def _window_join(table, insert_mode, emit_mode):
+    return _ids(op.join_window("join", _clock(), op.TumblingWindower(DAY, ALIGN), *_window_sides(table), insert_mode=insert_mode, emit_mode=emit_mode, names=["l", "r"]).down)
+
+
+@query(f"""WITH {_WSIDES} SELECT coalesce(a.key, b.key) AS key, coalesce(a.window_id, b.window_id) AS window_id, a.v AS l, b.v AS r
+FROM (SELECT key, window_id, min_by(event_id, (ts, event_id)) AS v FROM l GROUP BY 1, 2) a FULL JOIN (SELECT key, window_id, min_by(event_id, (ts, event_id)) AS v FROM r GROUP BY 1, 2) b
+ON a.key = b.key AND a.window_id = b.window_id""")
+def join_window_first_final(flow, table):
+    return _window_join(table, "first", "final")
+
+
+@query(f"""SELECT user_id::VARCHAR AS key, {_DAY_ID} AS window_id, first_value(CASE WHEN event_id % 2 = 0 THEN event_id END IGNORE NULLS) OVER w AS l,
+first_value(CASE WHEN event_id % 2 = 1 THEN event_id END IGNORE NULLS) OVER w AS r FROM events
+WINDOW w AS (PARTITION BY user_id, {_DAY_ID} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def join_window_first_running(flow, table):
+    return _window_join(table, "first", "running")
+
+
+_IN_WINDOW = f"SELECT user_id::VARCHAR AS key, {_DAY_ID} AS window_id, ts, event_id, event_id % 2 AS side, row_number() OVER (PARTITION BY user_id, {_DAY_ID} ORDER BY ts, event_id) AS i FROM events"
+
+
+@query(f"""WITH s AS ({_IN_WINDOW}) SELECT t.key, t.window_id, a.event_id AS l, b.event_id AS r FROM s t
+LEFT JOIN s a ON a.key = t.key AND a.window_id = t.window_id AND a.side = 0 AND a.i <= t.i LEFT JOIN s b ON b.key = t.key AND b.window_id = t.window_id AND b.side = 1 AND b.i <= t.i""")
+def join_window_product_running(flow, table):
+    return _window_join(table, "product", "running")
+
+
+def _window_rounds(keep_l: str, keep_r: str) -> str:
+    walk = _ROUNDS.format(keep_l=keep_l, keep_r=keep_r)
+    start, rest = walk.index("(SELECT user_id"), walk.index(",\nwalk AS")
+    walk = walk[:start] + f"({_IN_WINDOW})" + walk[rest:]
+    walk = walk.replace("SELECT key, i, event_id", "SELECT key, window_id, i, event_id").replace("SELECT e.key, e.i", "SELECT e.key, e.window_id, e.i")
+    return walk.replace("e.key = w.key AND", "e.key = w.key AND e.window_id = w.window_id AND").replace("SELECT key, l, r", "SELECT key, window_id, l, r")
+
+
+@query(_window_rounds("e.event_id", "e.event_id"))
+def join_window_last_complete(flow, table):
+    return _window_join(table, "last", "complete")
+
+
+@query(_window_rounds("CASE WHEN w.done THEN e.event_id ELSE coalesce(w.l, e.event_id) END", "CASE WHEN w.done THEN e.event_id ELSE coalesce(w.r, e.event_id) END"))
+def join_window_first_complete(flow, table):
+    return _window_join(table, "first", "complete")
+
+
+_SAME = "{x}.key = w.key AND {x}.window_id = w.window_id"
+
+
+@query(_window_rounds("e.event_id", "e.event_id").replace("SELECT key, window_id, l, r FROM walk WHERE done", "").rstrip() + _PRODUCT_ROUNDS.format(group="key, window_id", select="w.key, w.window_id", on_a=_SAME.format(x="a"), on_b=_SAME.format(x="b")))
+def join_window_product_complete(flow, table):
+    return _window_join(table, "product", "complete")
+
+
+# -- sources and sinks
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="flowspark-")
+    return f"{shared.rstrip('/')}/flowspark-query-{uuid.uuid4().hex}/{name}"
+
+
+def _through(flow: Flow, up: Stream, sink, source) -> Stream:
+    """What source reads of what sink has written of up."""
+    op.output("out", up, sink)
+    run_main(flow)
+    return op.input("again", Flow("again", flow.spark), source)
+
+
+@query("SELECT o_orderkey || ' ' || o_orderpriority AS value FROM orders")
+def file_sink_and_source(flow, table):
+    path = _folder(flow.spark, "lines")
+    return _through(flow, op.map("line", table("orders"), F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority")), FileSink(path), FileSource(path))
+
+
+@query("SELECT o_orderpriority || ' ' || o_orderkey AS value FROM orders")
+def dir_sink_and_source(flow, table):
+    path = _folder(flow.spark, "files")
+    up = op.map_value("line", op.key_on("key", table("orders"), F.col("o_orderpriority")), F.concat_ws(" ", "key", F.col("o_orderkey").cast("string")))
+    return op.map("value", _through(flow, up, DirSink(path, 3), DirSource(path)), F.col("value"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def parquet_sink_and_source(flow, table):
+    path = _folder(flow.spark, "rows")
+    up = op.map("slim", table("customer"), [F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal")])
+    return _through(flow, up, ParquetSink(path), ParquetSource(path))
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def csv_source(flow, table):
+    path = _folder(flow.spark, "csv")
+    table("nation").df.select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(path)
+    return op.input("csv", flow, CSVSource(path))
+
+
+@query("SELECT event_id, props::VARCHAR AS props FROM events")
+def fixed_partitioned_sink(flow, table):
+    """Rows by way of a sink in Python, a JSON file for each part and task."""
+    path = _folder(flow.spark, "parts")
+
+    class Part(StatefulSinkPartition):
+        def __init__(self, name):
+            from pyarrow import fs
+
+            store, root = fs.FileSystem.from_uri(path)
+            store.create_dir(root, recursive=True)
+            self.out = store.open_output_stream(f"{root}/{name}-{uuid.uuid4().hex}.json")
+
+        def write_batch(self, values):
+            self.out.write("".join(json.dumps(v) + "\n" for v in values).encode())
+
+        def close(self):
+            self.out.close()
+
+    class Parts(FixedPartitionedSink):
+        def list_parts(self):
+            return ["a", "b", "c"]
+
+        def build_part(self, step_id, for_part, resume_state):
+            return Part(for_part)
+
+    up = op.map_value("slim", op.key_on("key", table("events"), F.col("event_type")), {"event_id": F.col("event_id"), "props": F.col("props").cast("string")})
+    source = TableSource(lambda spark: spark.read.schema("event_id bigint, props string").json(path))
+    return _through(flow, up, Parts(), source)
+
+
+@query("SELECT unnest(range(5)) * 2 AS value")
+def testing_source(flow, table):
+    return op.map("twice", op.input("five", flow, TestingSource(list(range(5)), "bigint")), F.col("value") * 2)
+
+
+@query("SELECT 'cpu' AS key, 10 AS n, true AS within")
+def random_metric_source(flow, table):
+    up = op.input("metric", flow, RandomMetricSource("cpu", count=10))
+    return op.fold_final("stats", up, agg={"n": F.count("*"), "within": F.min((F.col("value") >= 0) & (F.col("value") < 10))})
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, length('{\"k\":' || json_extract_string(props, '$.k') || '}')::INT AS n_bytes FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def kafka_json_codecs(flow, table):
+    messages = op.map("bytes", table("events"), {"key": F.col("event_id").cast("string").cast("binary"), "value": F.col("props").cast("string").cast("binary")})
+    oks = kafka.deserialize_value("read", messages, kafka.json_deserializer("k bigint")).oks
+    again = kafka.serialize_value("write", op.map("both", oks, {"key": F.col("key"), "k": F.col("value.k"), "value": F.col("value")}), kafka.json_serializer())
+    return op.map("fields", again, [F.col("key").cast("string").cast("bigint").alias("event_id"), F.col("k"), F.octet_length("value").alias("n_bytes")])
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

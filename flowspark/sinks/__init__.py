@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 from typing import Any
 from zlib import adler32
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..items import reader
+from ..items import BATCH_ROWS, reader
 from ..stream import KEY, ORDER, VALUE, Stream
 
 __all__ = ["DirSink", "DynamicSink", "FileSink", "FixedPartitionedSink", "KafkaSink", "ParquetSink", "RaisingSink", "Sink", "StatefulSinkPartition", "StatelessSinkPartition", "StdOutSink", "TestingSink"]
@@ -36,7 +39,6 @@ def _by_arrival(df: DataFrame) -> DataFrame:
     return plain(df.sortWithinPartitions(*order)) if order else df
 
 
-
 @dataclass
 class ParquetSink(Sink):
     """Parquet files in a folder, by the values of partition_by."""
@@ -168,10 +170,22 @@ class StatelessSinkPartition(ABC):
         pass
 
 
+def _in_batches(rows: Iterable) -> Iterator[list]:
+    rows = iter(rows)
+    while held := list(islice(rows, BATCH_ROWS)):
+        yield held
+
+
 class FixedPartitionedSink(Sink):
-    """Named parts, each written by one task; part_fn, by default adler32, says which takes a key."""
+    """Named parts, each written by one task, BATCH_ROWS at a time; part_fn, by default adler32, says which takes a key.
+
+    When a task has written its rows, its part's snapshot goes to the driver, and the next epoch builds the part with it
+    as resume_state. With state_dir, a folder that outlives the driver, snapshots are written there after each epoch, and
+    an epoch begins from the newest before it, so one that comes twice begins from the same.
+    """
 
     keyed = True
+    state_dir: str | None = None
 
     @abstractmethod
     def list_parts(self) -> list[str]: ...
@@ -182,8 +196,21 @@ class FixedPartitionedSink(Sink):
     @abstractmethod
     def build_part(self, step_id: str, for_part: str, resume_state: Any) -> StatefulSinkPartition: ...
 
+    def _states(self, spark, epoch: int | None) -> dict[str, bytes]:
+        known = self.__dict__.get("_known", {})
+        if self.state_dir is None:
+            return known
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.state_dir)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()] if fs.exists(at) else []
+        before = [e for e in there if epoch is None or e < epoch]
+        if not before:
+            return {}
+        return {r.part: bytes(r.state) for r in spark.read.parquet(f"{self.state_dir}/{max(before)}").collect()}
+
     def write(self, up, df, epoch):
-        names, read, part_fn, build = sorted(self.list_parts()), reader(up.value_columns), self.part_fn, self.build_part
+        spark, names, read, part_fn, build = df.sparkSession, sorted(self.list_parts()), reader(up.value_columns), self.part_fn, self.build_part
+        states = self._states(spark, epoch)
 
         @F.pandas_udf("int")
         def number(keys):
@@ -192,21 +219,30 @@ class FixedPartitionedSink(Sink):
         order = [c for c in ORDER if c in df.columns]
         dealt = df.withColumn("_part", number(F.col(KEY))).repartition(len(names), "_part").sortWithinPartitions("_part", *order)
 
-        def run(rows):
-            from itertools import groupby
-
-            for k, own in groupby((r.asDict(recursive=True) for r in rows), key=lambda r: r["_part"]):
-                part = build("output", names[k], None)
+        def run(batches):
+            rows = (r for batch in batches for r in batch.to_pylist())
+            for k, own in groupby(rows, key=lambda r: r["_part"]):
+                state = states.get(names[k])
+                part = build("output", names[k], None if state is None else pickle.loads(state))
                 try:
-                    part.write_batch([read(r) for r in own])
+                    for some in _in_batches(own):
+                        part.write_batch([read(r) for r in some])
+                    yield pa.RecordBatch.from_pydict({"part": [names[k]], "state": [pickle.dumps(part.snapshot())]}, schema=pa.schema([("part", pa.string()), ("state", pa.binary())]))
                 finally:
                     part.close()
 
-        dealt.foreachPartition(run)
+        made = dealt.mapInArrow(run, "part string, state binary").collect()  # a row for each part
+        known = states | {r.part: bytes(r.state) for r in made}
+        self.__dict__["_known"] = known
+        if self.state_dir is not None and known:
+            saved = spark.createDataFrame(list(known.items()), "part string, state binary").coalesce(1)
+            saved.write.mode("overwrite").parquet(f"{self.state_dir}/{0 if epoch is None else epoch}")
 
 
 class DynamicSink(Sink):
-    """A part for each task, for rows as they lie."""
+    """A part for each task, for rows as they lie, BATCH_ROWS at a time; no more tasks than `workers`, by default as many as the cluster runs at once."""
+
+    workers: int | None = None
 
     @abstractmethod
     def build(self, step_id: str, worker_index: int, worker_count: int) -> StatelessSinkPartition: ...
@@ -214,15 +250,16 @@ class DynamicSink(Sink):
     def write(self, up, df, epoch):
         keyed, build = KEY in up.columns, self.build
         read = reader(up.value_columns if keyed else up.columns)
-        n = df.rdd.getNumPartitions() if epoch is None else 1
+        n = self.workers or df.sparkSession.sparkContext.defaultParallelism
 
         def run(rows):
             from pyspark import TaskContext
 
             part = build("output", TaskContext.get().partitionId(), n)
             try:
-                part.write_batch([(r[KEY], read(r)) if keyed else read(r) for r in (x.asDict(recursive=True) for x in rows)])
+                for some in _in_batches(rows):
+                    part.write_batch([(r[KEY], read(r)) if keyed else read(r) for r in (x.asDict(recursive=True) for x in some)])
             finally:
                 part.close()
 
-        plain(df).foreachPartition(run)
+        plain(df).coalesce(n).foreachPartition(run)

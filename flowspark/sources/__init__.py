@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import pickle
+import queue
 import random
 import time
 from abc import ABC, abstractmethod
@@ -410,6 +411,25 @@ def _data_source(name: str, kind, reader, pickled: bytes):
     return Own
 
 
+class _RandomMetricPoll(SimplePollingSource):
+    """A random number at each interval; a restart draws on from where the last run was."""
+
+    schema = "key string, value double"
+
+    def __init__(self, name: str, interval: timedelta, next_random: Callable[[], float] | None, seed: int):
+        super().__init__(interval)
+        self.name, self.next_random, self.random = name, next_random, random.Random(seed)
+
+    def next_item(self):
+        return self.name, float((self.next_random or self.random.random)())
+
+    def snapshot(self):
+        return self.random.getstate()
+
+    def resume(self, state):
+        self.random.setstate(state)
+
+
 @dataclass
 class RandomMetricSource(Source):
     """Rows (key, value): a metric's name and a random number, count of them, or without count a streaming query with one each interval."""
@@ -422,8 +442,7 @@ class RandomMetricSource(Source):
 
     def read(self, spark):
         if self.count is None:
-            rows = spark.readStream.format("rate").option("rowsPerSecond", max(1, round(1 / self.interval.total_seconds()))).load()
-            return rows.select(F.lit(self.metric_name).alias("key"), (F.rand(self.seed) * 10).alias("value"))
+            return _RandomMetricPoll(self.metric_name, self.interval, self.next_random, self.seed).read(spark)
         draw = self.next_random or random.Random(self.seed).random
         return spark.createDataFrame([(self.metric_name, float(draw())) for _ in range(self.count)], "key string, value double")
 
@@ -493,27 +512,37 @@ def batch(items: Iterable, batch_size: int) -> Iterator[list]:
 
 
 def batch_getter(getter: Callable[[], Any], batch_size: int, yield_on: Any = None) -> Iterator[list]:
-    """Lists of what getter returns, cut at batch_size and where it returns yield_on."""
-    while True:
+    """Lists of what getter returns, cut at batch_size and where it returns yield_on; StopIteration ends them after what there is."""
+    more = True
+    while more:
         held = []
-        while len(held) < batch_size:
-            x = getter()
+        while more and len(held) < batch_size:
+            try:
+                x = getter()
+            except StopIteration:
+                more = False
+                break
             if x == yield_on:
                 break
             held.append(x)
-        yield held
+        if more or held:
+            yield held
 
 
-def batch_getter_ex(getter: Callable[[], Any], batch_size: int, yield_ex: type[Exception]) -> Iterator[list]:
-    """Lists of what getter returns, cut at batch_size and where it raises yield_ex."""
-    while True:
+def batch_getter_ex(getter: Callable[[], Any], batch_size: int, yield_ex: type[Exception] = queue.Empty) -> Iterator[list]:
+    """Lists of what getter returns, cut at batch_size and where it raises yield_ex; StopIteration ends them after what there is."""
+    more = True
+    while more:
         held = []
         try:
             while len(held) < batch_size:
                 held.append(getter())
         except yield_ex:
             pass
-        yield held
+        except StopIteration:
+            more = False
+        if more or held:
+            yield held
 
 
 def batch_async(aib: AsyncIterable, timeout: timedelta, batch_size: int, loop: asyncio.AbstractEventLoop | None = None) -> Iterator[list]:

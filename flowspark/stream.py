@@ -15,10 +15,24 @@ KEY, VALUE = "key", "value"
 #: Columns that hold a row's place in the order of arrival: its source's number, and its place among rows made of one.
 ARRIVAL, SUB = "_arrival", "_sub"
 ORDER = (ARRIVAL, SUB)
-#: Bits that one level of flat_map takes of the second.
+#: Bits that one level of flat_map takes of the second: up to 2**20 rows made of one, three levels deep.
 SUB_BITS = 20
 
 
+def sub_place(sub: int, place: int) -> int:
+    """The second place of a row that is the place-th made of one with the given second place."""
+    if place >> SUB_BITS or sub >> (63 - SUB_BITS):
+        raise OverflowError(f"order of arrival: more than {1 << SUB_BITS} rows made of one, or of rows made of rows more than three deep")
+    return (sub << SUB_BITS) | place
+
+
+def sub_column(sub: Column, place: Column) -> Column:
+    """The same for columns."""
+    fits = (F.shiftright(place, SUB_BITS) == 0) & (F.shiftright(sub, 63 - SUB_BITS) == 0)
+    message = F.lit(f"order of arrival: more than {1 << SUB_BITS} rows made of one, or of rows made of rows more than three deep")
+    return F.when(fits, F.shiftleft(sub, SUB_BITS).bitwiseOR(place)).otherwise(F.raise_error(message).cast("long"))
+
+
 @dataclass
 class Step:
     """An operator call: its id with those of the steps around it, its streams, and the steps inside."""

@@ -179,21 +179,31 @@ class JoinLogic(StatefulLogic):
 
 @dataclass
 class EventClockLogic:
-    """Watermark of one key: the latest event less the wait, moved on by the system time since it was seen; it never goes back."""
+    """Watermark of one key: the latest event less the wait, moved on by the system time since it was seen; it never goes back, even if the system's clock does.
+
+    to_system says when, by the system's clock, a time of the events comes, where that isn't the plain difference; None is never.
+    """
 
     wait: timedelta
     now: Callable[[], datetime]
+    to_system: Callable[[datetime], datetime | None] | None = None
     base: datetime = UTC_MIN
     since: datetime | None = None
-    kept = ("base", "since")
+    latest: datetime = UTC_MIN
+    kept = ("base", "since", "latest")
+
+    def _now(self, now: datetime | None) -> datetime:
+        self.latest = max(self.latest, now or self.now())
+        return self.latest
 
     def watermark(self, now: datetime | None = None) -> datetime:
         if self.since is None:
             return self.base
-        passed = (now or self.now()) - self.since
+        passed = self._now(now) - self.since
         return self.base + passed if passed < UTC_MAX - self.base else UTC_MAX
 
     def observe(self, ts: datetime, now: datetime) -> datetime:
+        now = self._now(now)
         before = self.watermark(now)
         reached = ts - self.wait if ts - UTC_MIN > self.wait else UTC_MIN
         if self.since is None or reached > before:
@@ -202,6 +212,9 @@ class EventClockLogic:
 
     def system_time(self, ts: datetime, now: datetime) -> datetime:
         """When the watermark reaches ts, if no event comes."""
+        if self.to_system is not None:
+            at = self.to_system(ts)
+            return UTC_MAX if at is None else at
         missing = ts - self.watermark(now)
         return now + missing if missing < UTC_MAX - now else UTC_MAX
 

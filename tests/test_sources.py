@@ -2,6 +2,7 @@
 
 import asyncio
 import sys
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -173,6 +174,8 @@ def test_batch_helpers():
     items = iter([1, 2, None, 3])
     got = batch_getter(lambda: next(items), 5)
     assert next(got) == [1, 2]
+    assert next(got) == [3]  # what is held when the getter ends
+    assert list(got) == []
     queue = [1, 2, 3]
 
     def pop():
@@ -180,6 +183,9 @@ def test_batch_helpers():
 
     got = batch_getter_ex(pop, 2, IndexError)
     assert [next(got), next(got), next(got)] == [[1, 2], [3], []]
+    items = iter([1, 2, 3])
+    assert list(batch_getter_ex(lambda: next(items), 2)) == [[1, 2], [3]]
+    assert list(batch_getter(lambda: next(iter([])), 2)) == []
 
     async def slow():
         for k in range(5):
@@ -296,6 +302,20 @@ def test_streams_window_by_key(spark, tmp_path):
     assert sorted((k, v["window_id"]) for k, v in outs["meta"]) == [("a", 0), ("a", 1)]
 
 
+def test_streams_collect_dicts(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), datetime(2024, 1, 1)
+    schema = "_arrival long, key string, k string, ts timestamp, _sub long"
+    rows = [(n, "a", k, base + timedelta(seconds=s), 0) for n, (k, s) in enumerate([("x", 1), ("y", 5), ("x", 4), ("x", 25)])]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/0")
+    flow, out = Flow("dicts", spark), []
+    now = TimeTestingGetter(datetime(2024, 6, 1, tzinfo=timezone.utc))
+    clock = op.EventClock("ts", timedelta(seconds=10), now.get)
+    got = op.collect_window("c", op.input("inp", flow, streamed(spark, folder, schema)), clock, op.TumblingWindower(timedelta(seconds=10), base), into=dict)
+    op.output("out", got.down, TestingSink(out))
+    run_until_idle(flow, idle_epochs=2)
+    assert [{k: t.second for k, t in v["value"].items()} for _, v in out] == [{"x": 4, "y": 5}]
+
+
 def test_streams_window_by_one_watermark(spark, tmp_path):
     folder, base = str(tmp_path / "in"), datetime(2024, 1, 1)
     schema = "_arrival long, key string, ts timestamp, _sub long"
@@ -309,6 +329,7 @@ def test_streams_window_by_one_watermark(spark, tmp_path):
     op.output("out", got.down, TestingSink(out))
     run_main(flow, available_now=True, timeout=60)
     assert sorted((v["window_id"], v["value"]) for _, v in out)[:2] == [(0, 2), (1, 1)]
+    assert got.late is None  # the engine drops such rows
     with pytest.raises(TypeError, match="per_key=False"):
         op.fold_window("f", up, op.EventClock("ts"), op.SessionWindower(timedelta(seconds=1)), agg=F.count("*"))
 
@@ -377,3 +398,63 @@ def test_progress_is_counted(spark, tmp_path):
         assert progress.counts["counted.out"]["item_inp_count"] == 1
     finally:
         spark.streams.removeListener(progress)
+
+
+def test_random_metrics_come_at_their_interval(spark):
+    source = RandomMetricSource("cpu", interval=timedelta(seconds=60), next_random=lambda: 1.5)
+    query = source.read(spark).writeStream.format("memory").queryName("metrics").trigger(processingTime="0.2 seconds").start()
+    try:
+        time.sleep(6)
+    finally:
+        query.stop()
+    assert [tuple(r) for r in spark.table("metrics").collect()] == [("cpu", 1.5)]
+
+
+def test_sinks_get_batches_and_resume(spark, tmp_path, monkeypatch):
+    from flowspark import sinks
+
+    monkeypatch.setattr(sinks, "BATCH_ROWS", 4)
+    log = str(tmp_path / "log")
+
+    class Part(StatefulSinkPartition):
+        def __init__(self, name, state):
+            self.name, self.n = name, state or 0
+
+        def write_batch(self, values):
+            self.n += len(values)
+            with open(log, "a") as f:
+                f.write(f"{self.name} {len(values)} {self.n}\n")
+
+        def snapshot(self):
+            return self.n
+
+    class Counted(FixedPartitionedSink):
+        def __init__(self, state_dir):
+            self.state_dir = state_dir
+
+        def list_parts(self):
+            return ["only"]
+
+        def build_part(self, step_id, for_part, resume_state):
+            return Part(for_part, resume_state)
+
+    flow = Flow("sink", spark)
+    up = flow.stream("s", spark.createDataFrame([("k", n, n, 0) for n in range(10)], "key string, value long, _arrival long, _sub long").coalesce(1))
+    Counted(None).write(up, up.df, None)
+    for _ in range(2):  # the second time the epoch comes again, from the same state
+        Counted(str(tmp_path / "states")).write(up, up.df, 0)
+    Counted(str(tmp_path / "states")).write(up, up.df, 1)
+    lines = [x.split()[1:] for x in open(log).read().splitlines()]
+    assert all(int(n) <= 4 for n, _ in lines)
+    assert [int(total) for _, total in lines if int(total) % 10 == 0] == [10, 10, 10, 20]
+
+
+def test_order_of_arrival_has_bounds(spark):
+    from flowspark.stream import SUB_BITS, sub_column, sub_place
+
+    assert sub_place(3, 5) == (3 << SUB_BITS) + 5
+    for sub, place in ((0, 1 << SUB_BITS), (1 << 43, 0)):
+        with pytest.raises(OverflowError):
+            sub_place(sub, place)
+        with pytest.raises(Exception, match="order of arrival"):
+            spark.range(1).select(sub_column(F.lit(sub).cast("long"), F.lit(place).cast("long"))).collect()

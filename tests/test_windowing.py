@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import flowspark.operators as op
 from flowspark import Flow, functions, run_main
 from flowspark.functions import FOREVER
-from flowspark.streaming.logic import UTC_MIN, EventClockLogic, FoldLogic, SessionLogic, SlidingLogic, WindowDriver, drive
+from flowspark.streaming.logic import UTC_MAX, UTC_MIN, EventClockLogic, FoldLogic, SessionLogic, SlidingLogic, WindowDriver, drive
 from flowspark.testing import TestingSink, TestingSource, TimeTestingGetter
 
 BASE = datetime(2022, 1, 1, tzinfo=timezone.utc)
@@ -141,6 +141,22 @@ def test_event_clock():
     assert clock.observe(at(10), now.get()) == UTC_MIN + 2 * SEC
 
 
+def test_event_clock_stays_when_the_system_clock_steps_back():
+    now = TimeTestingGetter(BASE)
+    clock = EventClockLogic(5 * SEC, now.get)
+    clock.observe(BASE + 7 * SEC, now.get())
+    now.advance(4 * SEC)
+    reached = clock.watermark()
+    now.advance(-3 * SEC)
+    assert clock.watermark() == reached
+    assert clock.observe(BASE, now.get()) == reached
+    now.advance(10 * SEC)
+    assert clock.watermark() > reached
+    timed = EventClockLogic(5 * SEC, now.get, lambda ts: None if ts > BASE + 60 * SEC else ts + 9 * SEC)
+    assert timed.system_time(BASE, now.get()) == BASE + 9 * SEC
+    assert timed.system_time(BASE + 61 * SEC, now.get()) == UTC_MAX
+
+
 def test_sessions_merge():
     at = lambda s: BASE + s * SEC
     logic = SessionLogic(10 * SEC)
