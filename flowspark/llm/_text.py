@@ -92,3 +92,26 @@ def covered(starts: np.ndarray, lengths, n: int) -> np.ndarray:
     np.add.at(marks, starts, 1)
     np.add.at(marks, np.minimum(starts + lengths, n), -1)
     return np.cumsum(marks[:n]) > 0
+
+
+def whole_groups(batches, names: tuple[str, ...]):
+    """Columns of sorted rows, in pieces that hold groups of the first two columns whole; a group's rows are put together once."""
+    held: list = []
+    for batch in batches:
+        new = [np.asarray(batch.column(c)) for c in names]
+        if not batch.num_rows:
+            continue
+        edge = np.flatnonzero((np.diff(new[0]) != 0) | (np.diff(new[1]) != 0))
+        begins = not held or new[0][0] != held[-1][0][-1] or new[1][0] != held[-1][1][-1]
+        if held and (begins or len(edge)):
+            cut = 0 if begins else int(edge[0]) + 1
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in new], strict=True)]
+            held, new = [], [x[cut:] for x in new]
+            edge = edge[edge >= cut] - cut
+        if len(edge):
+            cut = int(edge[-1]) + 1
+            yield [x[:cut] for x in new]
+            new = [x[cut:] for x in new]
+        held.append(new)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import written
+from ._shared import discard, written
+from ._text import whole_groups
 
 BITS = 64
 #: Fingerprints that one call of the kernel compares with each other; larger groups are cut up by further bits first.
 KERNEL_ROWS = 4096
 #: Groups up to this size are compared pair by pair.
 PAIRWISE_ROWS = 16
+#: Groups above this size are dealt out by further bits before they meet.
+HOT_ROWS = 1 << 15
 
 
 def simhash(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -146,37 +150,47 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, print long")
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
+def parts(mask: int, radius: int) -> list[int]:
+    """mask with one of radius + 1 parts of the other bits: two fingerprints within the radius that agree on mask agree on one of these as well."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in free[k :: radius + 1]) for k in range(radius + 1)]
+
+
+def _dealt(prints: DataFrame, radius: int, hot_rows: int) -> DataFrame:
+    """Fingerprints under what they agree on: mask, key (the bits of the mask), print. Groups of over hot_rows are dealt by larger masks, as long as more than radius bits are left."""
+    masks, now, done = bands(radius), prints, []
+    bound = F.array(*(F.lit(_signed(m)) for m in masks))
+    while True:
+        now = now.select("print", F.explode(bound).alias("mask")).withColumn("key", F.col("print").bitwiseAND(F.col("mask")))
+        if BITS - max(m.bit_count() for m in masks) <= 2 * radius + 2:
+            done.append(now)
+            break
+        now = written(now, "bands") if done else now  # each level but the first is made of a few groups
+        hot = written(now.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows).select("mask", "key"), "hot")
+        if hot.isEmpty():
+            done.append(now)
+            break
+        done.append(now.join(hot, ["mask", "key"], "left_anti").select("print", "mask", "key"))
+        now = now.join(hot, ["mask", "key"], "left_semi")
+        finer = {m: parts(m, radius) for m in masks}
+        bound = F.create_map(*(x for m, own in finer.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in own)))))[F.col("mask")]
+        masks = [f for own in finer.values() for f in own]
+    return reduce(DataFrame.unionByName, done).select("mask", "key", "print")
+
+
+def links(prints: DataFrame, radius: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links (u, v) that join every two of the distinct fingerprints (column print) within the radius, directly or through others.
 
-    Fingerprints meet in groups that agree on a mask of `bands`; with 5 blocks and radius 2 that leaves 26 free bits at
-    most, so no group can have more than 2**26 members (512 MB), whatever the corpus holds, and groups that large are
-    cut up further. Each group sends back a tree of links, never its pairs.
+    Fingerprints meet in groups that agree on a mask of `bands`; groups of over hot_rows are first dealt out by further
+    bits (``parts``), again and again, so what a task gets at once is bounded whatever the corpus holds. Each group sends
+    back a tree of links, never its pairs.
     """
-    masks = bands(radius)
-    keys = F.array(*(F.struct(F.lit(k).cast("int").alias("band"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)))
-    dealt = prints.select("print", F.explode(keys).alias("k")).select("k.band", "k.key", "print")
-    dealt = dealt.repartition("band", "key").sortWithinPartitions("band", "key", "print")
-
-    def groups(batches):
-        """Arrays (band, print, first index of each group and the end), with groups kept whole over batches."""
-        rest = None
-        for batch in batches:
-            new = [np.asarray(batch.column(c)) for c in ("band", "key", "print")]
-            rest = [np.concatenate(x) for x in zip(rest, new)] if rest is not None else new
-            starts = np.flatnonzero(np.diff(rest[0], prepend=-1) | (np.diff(rest[1], prepend=0) != 0))
-            if len(starts) and starts[0] != 0:
-                starts = np.concatenate([[0], starts])
-            if len(starts) > 1:
-                cut = starts[-1]
-                yield rest[0][:cut], rest[2][:cut], starts
-                rest = [x[cut:] for x in rest]
-        if rest is not None and len(rest[0]):
-            yield rest[0], rest[2], np.array([0, len(rest[0])])
+    dealt = _dealt(prints, radius, hot_rows).repartition("mask", "key").sortWithinPartitions("mask", "key", "print")
 
     def run(batches):
-        for band, signed, starts in groups(batches):
+        for mask, key, signed in whole_groups(batches, ("mask", "key", "print")):
             prints = np.ascontiguousarray(signed).view(np.uint64)
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1, [len(key)]])
             sizes = np.diff(starts)
             labels = np.arange(len(prints))
             small = np.repeat(np.where((sizes > 1) & (sizes <= PAIRWISE_ROWS), np.arange(len(sizes)), -1), sizes)
@@ -189,7 +203,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
                 i = i[np.bitwise_count(prints[i + step] ^ prints[i]) <= radius]
                 unite(labels, i + step, i)
             for g in np.flatnonzero(sizes > PAIRWISE_ROWS):
-                free = ((1 << 64) - 1) & ~masks[int(band[starts[g]])]
+                free = ((1 << 64) - 1) & ~(int(mask[starts[g]]) & ((1 << 64) - 1))
                 link_group(prints, free, radius, labels, np.arange(starts[g], starts[g + 1]))
             own = np.flatnonzero(labels != np.arange(len(labels)))
             yield pa.RecordBatch.from_arrays([pa.array(signed[own]), pa.array(signed[labels[own]])], ["u", "v"])
@@ -209,9 +223,11 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, id_col:
     """
     prints = written(fingerprints(docs, width, id_col, text_col), "prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    classes = written(classes, "distinct")
     linked = components(links(classes.select("print"), radius))
     named = classes.join(linked, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("label", "print").alias("label"))
     named = written(named, "classes")
+    discard(classes)
     merged = named.groupBy("label").agg(F.min("least").alias("component_id"))
     joined = named.join(merged, "label").select("print", "component_id")
     out = prints.join(joined, "print")

@@ -125,3 +125,18 @@ def test_null_and_repeated_ids(table):
     assert sorted((r.doc_id for r in simhash.deduplicated(docs).collect()), key=str) == sorted([7, 3, None, None, None], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [2, 8])
+def test_hot_bands_are_dealt_by_further_bits(spark, hot_rows):
+    """The same components, however often groups are dealt anew, and no group larger than what near fingerprints force."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**63, 4, dtype=np.uint64)
+    prints = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (150, 3)).astype(np.uint64), axis=1) for b in base]))
+    df = spark.createDataFrame([(simhash._signed(int(p)),) for p in prints], "print long")
+    want = plain_labels(len(prints), lambda i, j: (int(prints[i]) ^ int(prints[j])).bit_count() <= 2)
+    linked = {r.node: r.label for r in _components.components(simhash.links(df, 2, hot_rows)).collect()}
+    label = [linked.get(simhash._signed(int(p)), simhash._signed(int(p))) for p in prints]
+    assert [label.index(x) for x in label] == want
+    sizes = simhash._dealt(df, 2, hot_rows).groupBy("mask", "key").count().agg({"count": "max"}).first()[0]
+    assert sizes < simhash._dealt(df, 2, 10**9).groupBy("mask", "key").count().agg({"count": "max"}).first()[0]
