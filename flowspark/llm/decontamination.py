@@ -31,6 +31,7 @@ class Index:
         self.window, self.gram = window, gram
         self.names = [name for name, _ in items]
         self.words = [bench_words(text) for _, text in items]
+        self.held: dict = {}
         memo, parts = WordHashes(), defaultdict(list)
         for k, words in enumerate(self.words):
             if words:
@@ -49,6 +50,15 @@ class Index:
         """For each window, the least hash of its runs of `gram` words: equal windows have equal anchors."""
         return sliding_min(ngram_hashes(hashes, self.gram), self.window - self.gram + 1)
 
+    def _holders(self, n: int, low: int) -> dict[tuple[bytes, ...], set[int]]:
+        """The windows of n words whose hash stands at low, with the items that hold each; found once."""
+        if (n, low) not in self.held:
+            known, item, at = self.by_length[n]
+            own = self.held[n, low] = {}
+            for k in range(low, int(np.searchsorted(known, known[low], "right"))):
+                own.setdefault(tuple(self.words[item[k]][at[k] : at[k] + n]), set()).add(int(item[k]))
+        return self.held[n, low]
+
     def find(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Marks of the words that lie in an occurrence of a window, and the items whose windows occur."""
         marks, items = np.zeros(len(words) + 1, np.int64), set()
@@ -66,27 +76,28 @@ class Index:
             else:
                 seeds = np.arange(len(words) - n + 1)
                 grams = ngram_hashes(hashes, n)
-            low, high = np.searchsorted(known, grams, "left"), np.searchsorted(known, grams, "right")
-            for s, a, b in zip(seeds[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                own, hit = words[s : s + n], False
-                for k in range(a, b):  # the words decide, not the hash
-                    other = self.words[item[k]]
-                    if other[at[k] : at[k] + n] == own:
-                        hit = True
-                        items.add(int(item[k]))
-                if hit:
-                    marks[s] += 1
-                    marks[s + n] -= 1
+            low = np.searchsorted(known, grams, "left")
+            hits = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == grams)
+            told = set()  # windows whose items are listed already
+            for s, a in zip(seeds[hits].tolist(), low[hits].tolist(), strict=True):
+                own = tuple(words[s : s + n])
+                if own not in told:
+                    if (holders := self._holders(n, a).get(own)) is None:  # the words decide, not the hash
+                        continue
+                    told.add(own)
+                    items |= holders
+                marks[s] += 1
+                marks[s + n] -= 1
         return np.cumsum(marks[:-1]) > 0, items
 
 
 def indexes(benchmark: DataFrame, window: int, gram: int, id_col: str, text_col: str, block_bytes: int) -> Iterator:
-    """Broadcast indexes that cover the benchmark in blocks of about block_bytes of text."""
-    slim = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[text_col].cast("binary").alias("text")).filter("text is not null")
+    """Broadcast indexes that cover the benchmark in blocks of about block_bytes of text; items with equal texts are dealt out like others."""
+    slim = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[text_col].cast("binary").alias("text")).filter("text is not null").dropDuplicates()
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
-        own = slim if blocks == 1 else slim.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        own = slim if blocks == 1 else slim.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         items = [(r.id, bytes(r.text)) for r in own.collect()]
         yield benchmark.sparkSession.sparkContext.broadcast(Index(items, window, gram))
 
