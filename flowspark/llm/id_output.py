@@ -22,6 +22,8 @@ BLOCK = 4096
 #: Ids after which a file is closed.
 FILE_IDS = 2_000_000
 MAGIC = b"S8BFILE1"
+#: Tasks that read files, for each core of the cluster, at most; a task reads one file after the other.
+READ_TASKS = 16
 
 
 def _window_max(x: np.ndarray, n: int) -> np.ndarray:
@@ -188,7 +190,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
     manifest says which files count, so lost executors and repeated attempts leave no gap or double. The folder must be
     shared, on a file system that pyarrow can open.
 
-    Null text counts as empty; null ids come first; rows that repeat an id follow each other in the order of their text.
+    Null text counts as empty; null ids come first; rows that repeat an id follow each other in the order of their text; all rows of one id, and all without, go through one task.
     """
     slim = docs.select(long_ids(docs, id_col), docs[text_col].cast("binary").alias("text"))
 
@@ -229,7 +231,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
     """What the files of a manifest hold: doc_id, start (ids of all documents before it), ids (bytes, little-endian 32-bit), in a row for each document."""
     order = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    files = files.repartition(max(1, manifest.count()))
+    files = files.repartition(max(1, min(manifest.count(), READ_TASKS * spark.sparkContext.defaultParallelism)))
 
     def run(batches):
         from pyarrow import fs
