@@ -10,19 +10,13 @@ from pyspark.sql import functions as F
 from ._shared import discard, long_ids, written
 from ._text import WordHashes, mix, ngram_hashes, sliding_min, split_words
 
-# A run's place is one long: first window, number of windows (6 bits), and 24 bits of the text's hash, which tell texts
-# apart that share an id.
+# A run's place is one long: first window, number of windows (6 bits), and 24 bits of the text's hash, its mark, which tell
+# texts apart that share an id.
 _COUNT_BITS, _PRINT_BITS = 6, 24
 #: Windows in a run at most; also fewer than the words of a window, so that a run's first and last window hold all its words.
 RUN = 48
 
 
-def text_print(text: bytes | None) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(text or b"") >> (64 - _PRINT_BITS)
-
-
 def places(start: np.ndarray, count: np.ndarray, mark: int) -> np.ndarray:
     return (start.astype(np.int64) << (_COUNT_BITS + _PRINT_BITS)) | (count.astype(np.int64) << _PRINT_BITS) | mark
 
@@ -54,19 +48,18 @@ def anchor_runs(anchors: np.ndarray, hashes: np.ndarray, most: int) -> tuple[np.
 
 
 def seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The anchor runs of all documents (doc_id, text): anchor, content, doc_id, place."""
+    """The anchor runs of all documents (doc_id, text, mark): anchor, content, doc_id, place."""
 
     def run(batches):
         memo = WordHashes()
         for batch in batches:
             out = [[], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py()
-                words = split_words(text)
+            for doc_id, text, mark in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("mark").to_pylist(), strict=True):
+                words = split_words(text.as_py())
                 if len(words) < window:
                     continue
                 anchor, content, start, count = anchor_runs(*hashed_windows(memo.of(words), window, gram), min(RUN, window - gram + 1, window - 1))
-                for x, new in zip(out, (anchor.view(np.int64), content.view(np.int64), np.full(len(start), doc_id), places(start, count, text_print(text))), strict=True):
+                for x, new in zip(out, (anchor.view(np.int64), content.view(np.int64), np.full(len(start), doc_id), places(start, count, mark)), strict=True):
                     x.append(new)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["anchor", "content", "doc_id", "place"])
@@ -74,11 +67,9 @@ def seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(run, "anchor long, content long, doc_id long, place long")
 
 
-def not_first(rows: DataFrame, alone: bool, both: bool = False) -> DataFrame:
+def not_first(rows: DataFrame, alone: bool) -> DataFrame:
     """Of rows (anchor, content, doc_id, place), those that aren't the first of their anchor and content by doc_id and place, as kind 0.
 
-    With both, the first of a group that has others comes too.
-
     Rows are dealt by ranges of all four columns and sorted, so a group of any size is shared out over tasks, and each
     task goes through its rows once. What a task can't know, whether its first group began in a task before it, is left
     open: the first rows of a task's first and last group come back as kind 2, for ``resolved``.
@@ -91,7 +82,6 @@ def not_first(rows: DataFrame, alone: bool, both: bool = False) -> DataFrame:
         last = None  # anchor, content, doc_id, place of the last group's first row
         many = opened = False  # the last anchor has a second content, or may have; its only first row is still held back
         edge = True  # the last group is the task's first
-        told = False  # the last group's first row has been given as kind 0
         names = ["kind", "anchor", "content", "doc_id", "place"]
 
         def out(kind, a, c, d, p):
@@ -108,14 +98,6 @@ def not_first(rows: DataFrame, alone: bool, both: bool = False) -> DataFrame:
             group = np.cumsum(new_group)
             fd, fp = np.concatenate([[before[2]], d[first]])[group], np.concatenate([[before[3]], p[first]])[group]
             again = np.flatnonzero(~new_group & ((d != fd) | (p != fp)))
-            if both and len(again):
-                own = np.unique(group[again])
-                if own[0] == 0 and not told:
-                    yield out(0, *(np.array([x]) for x in last))
-                again = np.union1d(again, first[own[own > 0] - 1])
-                told = own[-1] == group[-1] or (told and group[-1] == 0)
-            elif len(first):
-                told = False
             if len(again):
                 yield out(0, a[again], c[again], d[again], p[again])
             if not alone:
@@ -149,18 +131,23 @@ def not_first(rows: DataFrame, alone: bool, both: bool = False) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "kind byte, anchor long, content long, doc_id long, place long")
 
 
-def resolved(found: DataFrame, both: bool = False) -> DataFrame:
+def resolved(found: DataFrame) -> DataFrame:
     """The places (doc_id, place) that ``not_first`` found, with what it left open; that is two rows of each task."""
     ends = found.filter("kind = 2").distinct()
-    group = Window.partitionBy("anchor", "content")
-    rank = F.count("*").over(group) if both else F.row_number().over(group.orderBy("doc_id", "place"))
+    rank = F.row_number().over(Window.partitionBy("anchor", "content").orderBy("doc_id", "place"))
     late = ends.withColumn("rank", rank).filter("rank > 1")
     return found.filter("kind = 0").select("doc_id", "place").union(late.select("doc_id", "place"))
 
 
 def listed(rows: DataFrame) -> DataFrame:
-    """Places by document, as one array."""
-    return rows.groupBy(F.col("doc_id").alias("at_doc")).agg(F.collect_list("place").alias("places"))
+    """Places by document, as one array: of, by (mark), places."""
+    mark = F.col("place").bitwiseAND(F.lit((1 << _PRINT_BITS) - 1))
+    return rows.groupBy(F.col("doc_id").alias("of"), mark.alias("by")).agg(F.collect_list("place").alias("places"))
+
+
+def meets(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """docs (doc_id, text, mark) with their listed places."""
+    return docs.join(places, (F.col("doc_id") == F.col("of")) & (F.col("mark") == F.col("by")), how).select("doc_id", "text", "mark", "places")
 
 
 def windows_of(docs: DataFrame, runs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -170,35 +157,30 @@ def windows_of(docs: DataFrame, runs: DataFrame, window: int, gram: int) -> Data
         memo = WordHashes()
         for batch in batches:
             out = [[], [], [], []]
-            for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
-                text = text.as_py()
-                mark = text_print(text)
-                start, count, of = unplaced(np.asarray(own.values))
-                start, count = start[of == mark], count[of == mark]
-                if not len(start):
-                    continue
-                anchor, content = hashed_windows(memo.of(split_words(text)), window, gram)
+            for doc_id, text, mark, own in zip(*(batch.column(c) if c != "mark" else batch.column(c).to_pylist() for c in ("doc_id", "text", "mark", "places")), strict=True):
+                start, count, _ = unplaced(np.asarray(own.values))
+                doc_id = doc_id.as_py()
+                anchor, content = hashed_windows(memo.of(split_words(text.as_py())), window, gram)
                 at = np.unique(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
                 for x, new in zip(out, (anchor[at].view(np.int64), content[at].view(np.int64), np.full(len(at), doc_id), places(at, np.ones_like(at), mark)), strict=True):
                     x.append(new)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["anchor", "content", "doc_id", "place"])
 
-    joined = docs.join(listed(runs), F.col("doc_id") == F.col("at_doc")).select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "anchor long, content long, doc_id long, place long")
+    return meets(docs, listed(runs), "inner").mapInArrow(run, "anchor long, content long, doc_id long, place long")
 
 
-def compared(docs: DataFrame, window: int, gram: int, both: bool) -> tuple[DataFrame, DataFrame]:
+def compared(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """What ``not_first`` finds among the anchor runs of docs (doc_id, text), and among the windows of those that have to be extended.
 
     Runs and windows are written before they are sorted: finding the ranges reads them once more, which would make them
     twice. They go as soon as they are sorted.
     """
     made = written(seeds(docs, window, gram), "seeds")
-    runs = written(not_first(made, alone=True, both=both), "runs")
+    runs = written(not_first(made, alone=True), "runs")
     discard(made)
     made = written(windows_of(docs, runs.filter("kind = 1").select("doc_id", "place"), window, gram), "windows")
-    single = written(not_first(made, alone=False, both=both), "singles")
+    single = written(not_first(made, alone=False), "singles")
     discard(made)
     return runs, single
 
@@ -212,8 +194,8 @@ def deduplicated(docs: DataFrame, *, window: int = 20, gram: int = 5, id_col: st
     Seeds are winnowed anchors: of each window, the least hash of its runs of `gram` words; consecutive windows with one
     anchor make a run. All runs are sorted by anchor and content once. A run whose whole content stands earlier goes as
     a whole; of runs that share an anchor but not their content, the windows are compared one by one, which extends the
-    match both ways as far as words agree. Equal windows share their anchor, so none is missed; contents are compared by
-    128 bits of hashes. Groups of copies of any size are shared out by ranges (``not_first``); texts move twice, to meet
+    match both ways as far as words agree. Equal windows share their anchor, so none is missed; runs and windows are
+    compared by two 64-bit hashes, of the anchor and of all their words. Groups of copies of any size are shared out by ranges (``not_first``); texts move twice, to meet
     the places found in them.
 
     Null text has no words. A document with a null id stays as it is and removes nothing. Rows that repeat an id and
@@ -221,19 +203,18 @@ def deduplicated(docs: DataFrame, *, window: int = 20, gram: int = 5, id_col: st
     Other columns aren't read.
     """
     docs = docs.select(long_ids(docs, id_col), docs[text_col].cast("binary").alias("text"))
-    runs, single = compared(docs, window, gram, both=False)
+    docs = docs.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 64 - _PRINT_BITS))
+    runs, single = compared(docs, window, gram)
     gone = runs.filter("kind = 0").select("doc_id", "place").union(resolved(single))
 
     def run(batches):
         for batch in batches:
             n_words, kept, spans = [], [], []
             for text, own in zip(batch.column("text"), batch.column("places"), strict=True):
-                text = text.as_py()
-                words = split_words(text)
+                words = split_words(text.as_py())
                 out = np.zeros(len(words) + 1, np.int64)
                 if own.is_valid:
-                    start, count, of = unplaced(np.asarray(own.values))
-                    start, count = start[of == text_print(text)], count[of == text_print(text)]
+                    start, count, _ = unplaced(np.asarray(own.values))
                     np.add.at(out, start, 1)
                     np.add.at(out, start + count - 1 + window, -1)
                 gone = np.cumsum(out[:-1]) > 0
@@ -244,7 +225,6 @@ def deduplicated(docs: DataFrame, *, window: int = 20, gram: int = 5, id_col: st
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, kinds)], ["doc_id", "n_words", "kept", "spans"])
 
-    joined = docs.join(listed(gone), F.col("doc_id") == F.col("at_doc"), "left").select("doc_id", "text", "places")
-    out = joined.mapInArrow(run, "doc_id long, n_words long, kept string, spans array<struct<start: bigint, words: bigint>>")
+    out = meets(docs, listed(gone), "left").mapInArrow(run, "doc_id long, n_words long, kept string, spans array<struct<start: bigint, words: bigint>>")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"), "kept", "spans")
