@@ -159,7 +159,7 @@ def _starts(rows: DataFrame, x: list[Column]) -> DataFrame:
     for start in STARTS:
         cov = [[shape(start, r, c) * F.col(f"u{r}") * F.col(f"u{c}") if c <= r else None for c in range(_DIM)] for r in range(_DIM)]
         out.append(_estimate(means.withColumn("start", F.lit(start)), [F.col(f"med{k}") for k in range(_DIM)], cov))
-    return written(reduce(DataFrame.union, out).coalesce(1), "starts")
+    return written(reduce(DataFrame.union, out), "starts")
 
 
 def _concentrated(rows: DataFrame, x: list[Column], now: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _concentrated(rows: DataFrame, x: list[Column], now: DataFrame) -> DataFrame
     every = F.sum("n").over(Window.partitionBy("group", "start"))
     near = bins.withColumn("part", F.least(F.lit(1.0), (F.ceil(SUBSET * every) - before) / F.col("n"))).filter("part > 0")
     sums = near.groupBy("group", "start").agg(*(F.sum(F.col(k) * F.col("part")).alias(k) for k in names))
-    return written(_moments(sums, CONSISTENCY).coalesce(1), "estimate")
+    return written(_moments(sums, CONSISTENCY), "estimate")
 
 
 def _best(estimates: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def fit(stats: DataFrame) -> DataFrame:
     for _ in range(MORE_STEPS):
         now = _concentrated(rows, x, now)
         seen.append(now)
-    best = written(_best(reduce(DataFrame.union, seen)).coalesce(1), "estimate")
+    best = written(_best(reduce(DataFrame.union, seen)), "estimate")
     near = rows.join(best, "group").filter(_distance(x) <= REWEIGHT).groupBy("group", "start").agg(*(F.sum(v).alias(k) for k, v in _sums(x).items()))
     last = _moments(near, REWEIGHT_CONSISTENCY).drop("logdet").join(best.select("group", "logdet"), "group")
     return written(names.drop("pools").join(last, "group").drop("group").withColumnsRenamed({"lang": "fit_lang", "source": "fit_source"}), "fit")
