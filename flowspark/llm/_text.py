@@ -7,7 +7,7 @@ import numpy as np
 #: Words of the whole-text operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words that a worker remembers between documents; beyond it the memory starts afresh.
-MEMO_WORDS = 450_000
+MEMO_WORDS = 200_000
 #: The same for pieces of text and their tokens, which cost more to find.
 MEMO_PIECES = 900_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
