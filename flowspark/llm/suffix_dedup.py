@@ -221,7 +221,7 @@ def repeats(docs: DataFrame, *, least: int = 50, gram: int = 8, id_col: str = "d
     order = ["right", "left", "doc_id", "mark", "at"]
     pairs = written(_paired(made.repartitionByRange(*order).sortWithinPartitions(*order), least, gram, False), "pairs")
     discard(made)
-    ends = pairs.filter("kind = 2").withColumnRenamed("start", "at").coalesce(1).sortWithinPartitions("part", "last")
+    ends = pairs.filter("kind = 2").withColumnRenamed("start", "at").repartition(1).sortWithinPartitions("part", "last")
     pairs = pairs.filter("kind < 2").unionByName(_paired(ends.select(*_NAMES, "last"), least, gram, True))
     runs = pairs.filter("kind = 1").select("h1", "h2", "doc_id", "mark", "start")
     place = F.struct("doc_id", "mark", "start")
