@@ -213,11 +213,13 @@ def repeats(docs: DataFrame, *, least: int = 50, gram: int = 8, id_col: str = "d
     docs = docs.select(long_ids(docs, id_col), docs[text_col].cast("binary").alias("text")).filter("doc_id IS NOT NULL")
     docs = docs.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 40))
     kept = written(_suffixes(docs, least, gram), "suffixes")
-    shared = kept.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written, so that both sides of the join are plain tables, of which the engine can split a hot anchor's rows
+    shared = written(kept.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     own = kept.join(shared, "anchor").groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("by")).agg(F.collect_list(F.struct("at", "low", "high")).alias("own"))
     rows = docs.join(own, (F.col("doc_id") == F.col("of")) & (F.col("mark") == F.col("by"))).select("doc_id", "text", "mark", "own")
     made = written(_contexts(rows, least, gram), "contexts")
     discard(kept)
+    discard(shared)
     order = ["right", "left", "doc_id", "mark", "at"]
     pairs = written(_paired(made.repartitionByRange(*order).sortWithinPartitions(*order), least, gram, False), "pairs")
     discard(made)
