@@ -113,3 +113,11 @@ def test_special_strings_match_in_their_own_case_only(tokenizer):
     for s in ("<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "x<|EndOfText|>Y", "X<|endoftext|>Y", "<B>"):
         for text in (f"a {s} b", f"A {s.lower()} {s}", f"{s} {s.lower()}"):
             assert np.frombuffer(encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_string_ids_are_refused_and_other_columns_not_read(table, tokenizer):
+    docs = table([(1, "a b"), (2, "c")]).withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "start")
+    assert sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(docs, tokenizer, limit=2048).collect()) == [(1, 2), (2, 1)]
+    assert sorted((r.doc_id, r.start) for r in id_output.round_trip(docs, tokenizer).collect()) == [(1, 0), (2, 3)]
+    with pytest.raises(TypeError, match="whole-number"):
+        id_output.round_trip(docs.withColumn("doc_id", docs.doc_id.cast("string")), tokenizer)
