@@ -14,7 +14,7 @@ TYPES = {
     "op3_compact_shards": {"doc_id": "bigint", "version": "bigint", "shard": "string", "row": "bigint", "shard_bytes": "bigint"},
     "op4_binary_ids": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op5_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
-    "op6_quality_outliers": {"doc_id": "bigint", **dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "bigint"), "base_failed": "boolean", "kept": "boolean"},
+    "op6_quality_outliers": {"doc_id": "bigint", **dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "bigint"), "base_failed": "boolean", "kept": "boolean", "fit": "string"},
     "op7_pii_pseudonyms": {"doc_id": "bigint", "text": "string", **dict.fromkeys(("n_found", "n_card", "n_iban", "n_phone", "n_ssn", "n_ipv4", "n_date", "n_email", "n_token"), "bigint")},
     "op8_suffix_repeats": {"doc_id": "bigint", "start": "bigint", "n_words": "bigint"},
     "op9_simhash_groups": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
