@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ._components import components
 from ._shared import discard, written
 from ._text import WordHashes, ngram_hashes, split_words, whole_groups
-from .simhash import BITS, PAIRWISE_ROWS, links, near_pairs, without
+from .simhash import BITS, PAIRWISE_ROWS, near_pairs, unite, without
 
 #: Texts are near if the Jaccard similarity of their shingle sets is this fraction or more.
 SIMILARITY = (4, 5)
@@ -18,11 +20,16 @@ SIMILARITY = (4, 5)
 #: is below SHARED once in ten million.
 SKETCH, SHARED = 64, 34
 #: Candidates with SimHashes further apart are left out. At a similarity of 0.8 a bit differs with probability 0.15 (0.19
-#: in sets of few shingles), so of such pairs one in thousands lies beyond, and of nearer ones far fewer.
-RADIUS = 22
-#: Sets under a key that are compared with each other. Those of a commoner key aren't, as their pairs would grow as the
-#: square; they are compared by bands of SimHash instead, within HOT_RADIUS bits.
-KEY_SETS, HOT_RADIUS = 512, 6
+#: in sets of few shingles), so of such pairs one in ten million lies beyond, and of nearer ones far fewer.
+RADIUS = 30
+#: Sets under a key that meet as candidates. Those of a commoner key, whose pairs would grow as the square, meet in blocks,
+#: which send back trees of links.
+KEY_SETS = 512
+#: What a block holds, about: sets, and shingles. Fewer sets still make BLOCKS of them, as long as each has SMALL_BLOCK.
+BLOCK_SETS, BLOCK_SHINGLES, BLOCKS, SMALL_BLOCK = 2048, 1 << 19, 8, 256
+#: Sets of a block that are compared with another block at once, and pairs of them under a shingle above which it becomes
+#: a column of a matrix, so many of them at once.
+STRIP, DENSE, COLUMNS = 512, 512, 4096
 
 
 def shingles(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -102,6 +109,11 @@ def _sizes_fit(a, b):
     return SIMILARITY[1] * F.least(a, b) >= SIMILARITY[0] * F.greatest(a, b)
 
 
+def _step(n):
+    """Sizes by powers of 5/4: near sets are of one step or of neighbouring ones."""
+    return F.floor(F.ln(n) / F.ln(F.lit(1.25))).cast("int")
+
+
 def _candidates(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (u, v) of sets under a key, of other labels, with sizes and SimHashes that near sets can have.
 
@@ -109,9 +121,7 @@ def _candidates(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """
     named = keyed.filter(F.col("n_key") <= KEY_SETS).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    # sizes by powers of 5/4: near sets are of one step or of neighbouring ones
-    step = F.floor(F.ln("n") / F.ln(F.lit(1.25))).cast("int")
-    dealt = named.join(mixed, "key").withColumn("step", step).select("key", "node", "print", "n", "label", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("block"), "step")
+    dealt = named.join(mixed, "key").withColumn("step", _step("n")).select("key", "node", "print", "n", "label", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("block"), "step")
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "node")
 
     def run(batches):
@@ -146,14 +156,100 @@ def _candidates(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _hot(keyed: DataFrame) -> DataFrame:
-    """Pairs (u, v) for sets with a key that over KEY_SETS sets have: each with the first of its SimHash, and trees over SimHashes within HOT_RADIUS."""
-    sets = written(keyed.filter(F.col("n_key") > KEY_SETS).select("node", "print").distinct(), "hot")
-    firsts = written(sets.groupBy("print").agg(F.min("node").alias("first")), "hot")
-    same = sets.join(firsts, "print").filter("first <> node").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    trees = links(firsts.select("print"), HOT_RADIUS).toDF("a", "b")
-    near = trees.join(firsts.toDF("a", "u"), "a").join(firsts.toDF("b", "v"), "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return same.union(near)
+def near_sets(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the near sets, one of a and one of b. All pairs' common elements are counted: those of few sets pair by pair, others by products of matrices."""
+    num, den = SIMILARITY
+    n_a, n_b = (np.array([len(x) for x in side]) for side in (a, b))
+    ids, codes = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    codes_b, rows_b = codes[n_a.sum() :], np.repeat(np.arange(len(b)), n_b)
+    ends_a = np.concatenate([[0], np.cumsum(n_a)])
+    held = np.bincount(codes_b, minlength=len(ids))
+    holders, first = rows_b[np.argsort(codes_b, kind="stable")], np.cumsum(held) - held
+    for at in range(0, len(a), STRIP):
+        n = n_a[at : at + STRIP]
+        own, rows = codes[ends_a[at] : ends_a[at + len(n)]], np.repeat(np.arange(len(n)), n)
+        met = np.bincount(own, minlength=len(ids)) * held
+        few = (met[own] > 0) & (met[own] <= DENSE)
+        times = held[own[few]]
+        j = holders[np.arange(times.sum()) + np.repeat(first[own[few]] - (np.cumsum(times) - times), times)]
+        common = np.bincount(np.repeat(rows[few], times) * len(b) + j, minlength=len(n) * len(b)).reshape(len(n), len(b))
+        many = np.flatnonzero(met > DENSE)
+        for c in range(0, len(many), COLUMNS):
+            place = np.full(len(ids), -1)
+            place[many[c : c + COLUMNS]] = np.arange(len(many[c : c + COLUMNS]))
+            left, right = (np.zeros((k, len(many[c : c + COLUMNS])), np.float32) for k in (len(n), len(b)))
+            for matrix, r, of in ((left, rows, place[own]), (right, rows_b, place[codes_b])):
+                matrix[r[of >= 0], of[of >= 0]] = 1
+            common += (left @ right.T).astype(np.int64)
+        i, j = np.nonzero(den * common >= num * (n[:, None] + n_b[None, :] - common))
+        yield at + i, j
+
+
+def _hot(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sets with a key that over KEY_SETS sets have, dealt to blocks: node, label, pool, step (of sizes), block.
+
+    Keys that a set has are of one pool, so near sets that share such keys only are too. Of a step, a label of many sets
+    has blocks of its own, others are dealt whole.
+    """
+    hot = keyed.filter(F.col("n_key") > KEY_SETS)
+    sets = written(hot.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n")), "hot")
+    chains = components(hot.join(sets, "node").select(F.col("key").alias("u"), F.col("least").alias("v"))).toDF("least", "pool")
+    sets = sets.join(chains, "least", "left").join(labels, "node", "left").withColumn("step", _step("n"))
+    sets = sets.select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("pool", "least").alias("pool"), "step")
+    each = sets.groupBy("pool", "step", "label").agg(F.count("*").alias("own"), F.sum("n").alias("shingles"))
+    whole = each.groupBy("pool", "step").agg(F.sum("own").alias("all"), F.sum("shingles").alias("shingles"))
+    several = F.least(F.lit(BLOCKS), F.ceil(F.col("all") / SMALL_BLOCK))
+    whole = whole.select("pool", "step", "all", F.greatest(F.ceil(F.col("all") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), several).alias("blocks"))
+    share = F.col("blocks") * F.col("own") / F.col("all")
+    each = each.join(whole, ["pool", "step"]).select("pool", "step", "label", "blocks", F.when(share >= 0.5, F.ceil(share)).alias("of_label"))
+    block = F.when(F.col("of_label").isNull(), F.pmod(F.xxhash64("label"), "blocks")).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node"), "of_label")))
+    return written(sets.join(each, ["pool", "step", "label"]).select("node", "label", "pool", "step", block.alias("block")), "hot")
+
+
+def _hot_links(texts: DataFrame, hot: DataFrame, width: int) -> DataFrame:
+    """Links (u, v) that join, with the labels, every two near sets of a pool, directly or through others.
+
+    Blocks of one step or of neighbouring ones meet, unless all their sets have one label; each meeting compares its
+    sets, made again from the texts, pair by pair and sends back a tree of links.
+    """
+    blocks = written(hot.groupBy("pool", "step", "block").agg(F.min("label").alias("a"), F.max("label").alias("b")), "hot")
+    x, y = (blocks.select("pool", *(F.col(c).alias(side + c) for c in ("step", "block", "a", "b"))) for side in "xy")
+    once = ((F.col("xstep") == F.col("ystep")) & (F.col("xblock") <= F.col("yblock"))) | (F.col("xstep") + 1 == F.col("ystep"))
+    meet = x.join(y, "pool").filter(once & (F.least("xa", "ya") != F.greatest("xb", "yb")))
+    # a block that meets itself is on both sides
+    alone = (F.col("xstep") == F.col("ystep")) & (F.col("xblock") == F.col("yblock"))
+    sides = F.array(F.struct(F.col("xstep").alias("step"), F.col("xblock").alias("block"), F.when(alone, 2).otherwise(0).alias("side")), F.struct(F.col("ystep").alias("step"), F.col("yblock").alias("block"), F.when(~alone, 1).alias("side")))
+    meet = meet.select("pool", F.xxhash64("xstep", "xblock", "ystep", "yblock").alias("meeting"), F.explode(sides).alias("s"))
+    meet = meet.select("pool", "meeting", "s.step", "s.block", "s.side").filter("side IS NOT NULL")
+
+    def made(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            own = pa.array([shingles(t.as_py(), width, hashes).tobytes() for t in batch.column("text")], pa.binary())
+            yield batch.drop_columns(["text"]).append_column("own", own)
+
+    sets = hot.join(texts, "node").select("node", "label", "pool", "step", "block", "text")
+    sets = sets.mapInArrow(made, "node long, label long, pool long, step int, block long, own binary")
+    dealt = sets.join(meet, ["pool", "step", "block"]).select("pool", "meeting", "side", "node", "label", "own")
+    dealt = dealt.repartition("pool", "meeting").sortWithinPartitions("pool", "meeting")
+
+    def run(batches):
+        for pool, meeting, side, node, label, own in whole_groups(batches, ("pool", "meeting", "side", "node", "label", "own")):
+            for g in np.split(np.arange(len(node)), np.flatnonzero((np.diff(pool) != 0) | (np.diff(meeting) != 0)) + 1):
+                a, b = g[side[g] != 1], g[side[g] != 0]
+                if not len(a) or not len(b):
+                    continue
+                _, first, kin = np.unique(label[g], return_index=True, return_inverse=True)
+                known = first[kin]
+                joined = known.copy()
+                for i, j in near_sets(*([np.frombuffer(own[k], np.uint64) for k in s] for s in (a, b))):
+                    unite(joined, a[i] - g[0], b[j] - g[0])
+                moved = first[joined[first] != first]
+                yield pa.RecordBatch.from_arrays([pa.array(node[g[moved]]), pa.array(node[g[joined[moved]]])], ["u", "v"])
+
+    out = written(dealt.mapInArrow(run, "u long, v long"), "links")
+    discard(blocks)
+    return out
 
 
 def _texts(docs: DataFrame, classes: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
@@ -192,10 +288,14 @@ def near_copies(docs: DataFrame, *, width: int = 5, id_col: str = "doc_id", text
     other's among the rarest of its sketch; under these they meet. What the first of a key links isn't compared again;
     sets of other components are, by SimHash in bit planes, and pairs within RADIUS by their sets as they are.
 
-    Equal sets are one. Sets of which the rarest hashes are each their own or common to over KEY_SETS sets (texts that
-    are mostly a common passage) are compared with others of that kind by the first of a key and by SimHash within
-    HOT_RADIUS only, so of those a pair of a similarity below 0.93 or so may be missed. Null and wordless texts are near each other; rows with a null id take no part; rows that repeat an id are separate. Other
-    columns aren't read.
+    Equal sets are one. Near sets that only share hashes common to over KEY_SETS sets (texts that are mostly a common
+    passage, or copies of one text) each have such a hash among those they are looked up by. All sets of that kind that
+    chains of such hashes join, and that the first look left in different groups, are compared with each other as they
+    are, in blocks of sets of like size: exact, and never more than a tree of links for two blocks. Comparisons grow as
+    the sets that the first look left apart times all sets of that kind that such a chain joins.
+
+    Null and wordless texts are near each other; rows with a null id take no part; rows that repeat an id are separate.
+    Other columns aren't read.
     """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text")).filter("doc_id IS NOT NULL")
     marks = written(_marks(slim, width), "marks")
@@ -204,10 +304,13 @@ def near_copies(docs: DataFrame, *, width: int = 5, id_col: str = "doc_id", text
     texts = written(_texts(slim, classes, keyed, width), "texts")
     pairs = _verified(texts, _stars(keyed), width)
     labels = written(components(pairs).withColumnRenamed("node", "of").select(F.col("of").alias("node"), "label"), "labels")
-    pairs = pairs.union(_verified(texts, _candidates(keyed, labels).union(_hot(keyed)), width))
+    pairs = pairs.union(_verified(texts, _candidates(keyed, labels), width))
+    hot = _hot(keyed, labels)
+    if not hot.isEmpty():
+        pairs = pairs.union(_hot_links(texts, hot, width))
     named = classes.join(components(pairs), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = written(named, "named")
-    for table in (classes, keyed, labels, texts):
+    for table in (classes, keyed, labels, texts, hot):
         discard(table)
     merged = named.groupBy("label").agg(F.min("least").alias("component_id"))
     return marks.select("doc_id", "node").join(named.join(merged, "label").select("node", "component_id"), "node").select("doc_id", "component_id")

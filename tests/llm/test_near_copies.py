@@ -84,3 +84,32 @@ def test_odd_rows(table):
     docs = table([(None, "a b c d"), (7, "a b c d"), (7, "A b c d"), (3, "x y z q"), (None, None)])
     assert sorted((r.doc_id, r.component_id) for r in near_copies.near_copies(docs).collect()) == [(3, 3), (7, 7), (7, 7)]
     assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_sets_near_by_very_common_shingles_only(table):
+    """More texts than meet under a shingle share a passage; a few of them are near each other, by that passage only."""
+    draw = random.Random(7)
+    shared = prose(draw, 44, 3000)
+    tails = [22] * 560 + [4, 5, 4, 3] + [22] * 40
+    texts = [f"{shared} {' '.join(f'own{k}x{i}' for i in range(n))}" for k, n in enumerate(tails)]
+    sets = [plain_set(t) for t in texts]
+    assert len(texts) > near_copies.KEY_SETS
+    want = plain_labels(len(texts), lambda i, j: plain_near(sets[i], sets[j]))
+    assert want[560:564] == [560] * 4 and len(set(want)) == len(texts) - 3
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(table(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_blocks_find_all_near_sets(monkeypatch):
+    """Counted pair by pair or in matrices, in one strip or many."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**63, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[draw.random(90) > draw.random() / 4], draw.integers(0, 2**63, int(draw.integers(1, 12)), dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.unique(draw.integers(0, 2**63, 5, dtype=np.uint64)) for _ in range(5)]
+    a, b = sets[:40], sets[25:]
+    want = {(i, j) for i in range(len(a)) for j in range(len(b)) if near_copies.near(a[i], b[j])}
+    assert 20 < len(want) < len(a) * len(b) / 2
+    for strip, dense, columns in ((512, 512, 4096), (7, 3, 5), (16, 0, 4096), (64, 1 << 30, 1)):
+        for name, x in (("STRIP", strip), ("DENSE", dense), ("COLUMNS", columns)):
+            monkeypatch.setattr(near_copies, name, x)
+        assert {(int(i), int(j)) for pair in near_copies.near_sets(a, b) for i, j in zip(*pair, strict=True)} == want
