@@ -430,10 +430,15 @@ def tumbling_collect_set(flow, table):
 @query(f"""SELECT key, window_id, count(*) AS n, sum(epoch_us(last))::BIGINT AS total FROM (
   SELECT event_type AS key, {_DAY_ID} AS window_id, user_id, max(ts) AS last FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def tumbling_collect_dict(flow, table):
+    """The total is a bigint, as in the SQL. If one is beyond that, where the SQL stops with an error, all are decimal(38,0)."""
     up = op.map_value("u", op.key_on("key", table("events", "event_id"), F.col("event_type")), {"user_id": F.col("user_id"), "ts": F.col("ts")})
     maps = op.collect_window("dict", up, _clock(), op.TumblingWindower(DAY, ALIGN), into=dict).down
-    total = F.aggregate(F.map_values("value"), F.lit(0).cast("bigint"), lambda acc, x: acc + F.unix_micros(x.cast("timestamp")))
-    return op.map("sums", maps, {"key": F.col("key"), "window_id": F.col("window_id"), "n": F.size("value").cast("bigint"), "total": total})
+    total = F.aggregate(F.map_values("value"), F.lit(0).cast("decimal(38,0)"), lambda acc, x: (acc + F.unix_micros(x.cast("timestamp"))).cast("decimal(38,0)"))
+    sums = op.map("sums", maps, {"key": F.col("key"), "window_id": F.col("window_id"), "n": F.size("value").cast("bigint"), "total": total})
+    path = _folder(flow.spark, "sums")
+    sums = _through(flow, sums, ParquetSink(path), ParquetSource(path))
+    fits = sums.df.filter(F.col("total").try_cast("bigint").isNull()).isEmpty()
+    return op.map_value("typed", sums, {"window_id": F.col("window_id"), "n": F.col("n"), "total": F.col("total").cast("bigint" if fits else "decimal(38,0)")})
 
 
 _SLIDES = f"""SELECT event_type AS key, event_id, value, unnest(generate_series(floor(({_D} - {_US_DAY}) / {6 * _US_HOUR}.0)::BIGINT + 1, floor({_D} / {6 * _US_HOUR}.0)::BIGINT)) AS window_id FROM events"""
