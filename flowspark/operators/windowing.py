@@ -414,8 +414,9 @@ def collect_window(step_id: str, up: Stream, clock: Clock, windower: Windower, i
     order = [F.col(c) for c in ORDER if up.ordered]
     place = F.struct(*([F.col(AT), *order] if ordered else order or [F.col(AT)]))
     if into is set:
-        out = F.array_distinct(F.array_sort(F.collect_set(_value(up))))
-        return _out(a, a.rows.groupBy(KEY, WID).agg(out.alias(VALUE)))
+        # values that are equal meet by a shuffle; array_distinct would compare structs all with all
+        kept = a.rows.select(KEY, WID, _value(up).alias("v")).distinct()
+        return _out(a, kept.groupBy(KEY, WID).agg(F.sort_array(F.collect_list("v")).alias(VALUE)))
     if into is dict:
         k, v = _pair(step_id, up)
         kept = a.rows.groupBy(KEY, WID, k).agg(F.max_by(v, place).alias(v))

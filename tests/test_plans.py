@@ -53,6 +53,14 @@ def test_aggregates_shuffle_once_after_partial_sums(spark, name):
     assert "Python" not in text and "Arrow" not in text
 
 
+def test_sets_are_not_compared_all_with_all(spark):
+    from flowspark.queries import QUERIES
+
+    text = plan(QUERIES["tumbling_collect_set"](spark, SF))
+    assert "array_distinct" not in text  # of structs it takes the square of a set's size
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
+
+
 def test_the_llm_package_is_not_needed():
     from pathlib import Path
 

@@ -76,6 +76,17 @@ def test_collect_window(spark):
         run(spark, lambda s: op.collect_window("c", s, clock, windower, tuple), pairs)
 
 
+def test_collect_equal_values_into_a_set(spark):
+    clock, windower = op.EventClock("ts", FOREVER), op.TumblingWindower(timedelta(days=1), BASE)
+    rows = [{"key": "a", "ts": BASE + k % 3000 * SEC, "v": str(k % 2)} for k in range(6000)]
+    got = run(spark, lambda s: op.collect_window("c", op.map_value("m", s, {"ts": F.col("ts"), "v": F.col("v")}), clock, windower, set), rows)
+    ((_, out),) = got["down"]
+    assert [(x["ts"].replace(tzinfo=timezone.utc), x["v"]) for x in out["value"]] == [(BASE + k * SEC, str(k % 2)) for k in range(3000)]
+    rows = [{"key": "a", "ts": BASE, "v": v} for v in ("0.0", "-0.0", "NaN", "1.5", "NaN", "1.5")]
+    got = run(spark, lambda s: op.collect_window("c", op.map_value("m", s, {"n": F.col("v").cast("double"), "ts": F.col("ts")}), clock, windower, set), rows)
+    assert [str(abs(x["n"])) for x in got["down"][0][1]["value"]] == ["0.0", "1.5", "nan"]
+
+
 def test_count_reduce_max_min_window(spark):
     rows = [{"key": k, "ts": BASE + s * SEC, "n": n} for k, s, n in (("a", 0, 1), ("a", 4, 9), ("b", 8, 3), ("a", 12, 10), ("a", 13, 4))]
     schema, clock, windower = "key string, ts timestamp, n bigint", op.EventClock("ts"), op.TumblingWindower(10 * SEC, BASE)
